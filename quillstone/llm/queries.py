@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import shingles, words
+from quillstone.llm import language, neardup
 from quillstone.llm.pack import byte_tokens, pack
 from quillstone.llm.split import split_oversized
 from quillstone.session import table
@@ -32,8 +34,55 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_packed(spark, sf_dir).where("piece_count > 1").select("doc_id").distinct()
 
 
+def _features(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame, F.Column]]:
+    """Table, key, rows and features of the two collections searched for near copies."""
+    candidates = table(spark, sf_dir, "candidates").select("candidate_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))).alias("t")).distinct()
+    gold = table(spark, sf_dir, "ner_gold").select("chunk_id", F.col("chunk_text").alias("t")).distinct()
+    return [("candidates", "candidate_id", candidates, shingles(words(F.col("t")), 1)), ("ner_gold", "chunk_id", gold, shingles(words(F.col("t")), 3))]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [neardup.near_pairs(rows, key, features, 0.6).select(F.lit(name).alias("tbl"), "key_a", "key_b") for name, key, rows, features in _features(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with its class of copies, links between classes, and group."""
+    parts = [neardup.near_groups(rows, key, features, 0.6).withColumn("tbl", F.lit(name)) for name, key, rows, features in _features(spark, sf_dir)]
+    return parts[0].unionByName(parts[1])
+
+
+#: A language with fewer words than this in a text is boilerplate, not a mixture.
+MIXED_WORDS = 18
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = table(spark, sf_dir, "ner_gold").select("chunk_id", "chunk_text").distinct()
+    labels = table(spark, sf_dir, "chunk_metadata").groupBy("chunk_id").agg(F.max("language").alias("label"))
+    rows = gold.join(labels, "chunk_id", "left").withColumn("named", language.label_language(F.col("label")))
+    model = language.train(rows, "chunk_text", "named")
+    found = language.identify(gold, "chunk_id", "chunk_text", model).withColumnRenamed("key", "chunk_id")
+    return found.join(rows.select("chunk_id", "label", "named").dropDuplicates(["chunk_id"]), "chunk_id")
+
+
+def p5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every gold chunk with its language and confidence, beside the chunk's label."""
+    rows = _languages(spark, sf_dir).select("chunk_id", "label", F.col("language").alias("main"), F.posexplode("segments").alias("segment_index", "s"))
+    return rows.select("chunk_id", "label", "main", "segment_index", "s.start", "s.end", "s.language", "s.confidence", "s.words")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _languages(spark, sf_dir)
+    by_language = F.array_distinct(F.transform("segments", lambda s: s["language"]))
+    size = lambda code: F.aggregate(F.filter("segments", lambda s: s["language"] == code), F.lit(0), lambda n, s: n + s["words"])
+    written = F.filter(by_language, lambda code: (code == F.col("language")) | (size(code) >= MIXED_WORDS))
+    rows = rows.where("language is not null").withColumn("written", written)
+    wrong = F.col("named").isNull() | (F.col("named") != F.col("language"))
+    return rows.where(wrong | (F.size("written") > 1)).select("chunk_id", F.explode("written").alias("language")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_found, p6_packed)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_groups, p5_found, p5_segments, p6_found, p6_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
