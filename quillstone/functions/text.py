@@ -1,0 +1,19 @@
+"""Words of a text, as Catalyst expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def words(text: Column) -> Column:
+    """Maximal runs of letters and digits of the lower-cased text; null counts as empty."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def shingles(tokens: Column, n: int) -> Column:
+    """Distinct 64-bit hashes of the runs of ``n`` consecutive tokens; empty below ``n`` tokens."""
+    if n == 1:
+        return F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))
+    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(tokens, i, n))))
+    return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
