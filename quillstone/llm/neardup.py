@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.components import connected_components
 from quillstone.operators.pairs import pairs_within
-from quillstone.session import cut
+from quillstone.session import cut, fence
 
-EPSILON = 1e-9
+EPSILON, PAIR_LIMIT = 1e-9, 64
 
 
 def _prefix(features: Column, threshold: float) -> Column:
@@ -30,7 +30,7 @@ def _prefix(features: Column, threshold: float) -> Column:
 
 def classes(df: DataFrame, key: str, features: Column) -> DataFrame:
     """Rows (class, key, features): records with equal feature sets have one class."""
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.array_sort(features).alias("features")).where(F.size("features") > 0)
+    rows = fence(df.select(F.col(f"`{key}`").alias("key"), F.array_sort(features).alias("features"))).where(F.size("features") > 0)
     return rows.withColumn("class", F.sha2(F.concat_ws(",", F.transform("features", lambda x: x.cast("string"))), 256)).dropDuplicates(["class", "key"])
 
 
@@ -49,13 +49,16 @@ def class_links(members: DataFrame, threshold: float) -> DataFrame:
     )
     orders = cut(orders)
     lone = F.col("n") - F.size("shared")
-    width = F.col("n") - F.ceil(F.col("n") * threshold - EPSILON).cast("int") + 1
-    postings = orders.select("class", "n", lone.alias("lone"), F.posexplode(F.slice("shared", 1, F.greatest(width - lone, F.lit(0)))).alias("pos", "token"))
-    postings = postings.select("class", "n", (F.col("pos") + F.col("lone")).alias("pos"), "token")
-    least = F.ceil((F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - EPSILON)
-    reach = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    near = (F.col("a_class") < F.col("b_class")) & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold - EPSILON) & (reach >= least)
-    candidates = pairs_within(postings, "token", "class", near).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+    need = F.ceil(F.col("n") * threshold - EPSILON).cast("int")
+    head = lambda extra: F.slice("shared", 1, F.greatest(F.least(F.col("n") - need + extra, F.col("n")) - lone, F.lit(0)))
+    near = (F.col("a_class") < F.col("b_class")) & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold - EPSILON)
+    two = fence(orders.where(F.col("n") <= PAIR_LIMIT).select("class", "n", head(2).alias("head")))
+    keys = F.flatten(F.transform("head", lambda x, i: F.transform(F.slice("head", i + 2, F.size("head")), lambda y: F.xxhash64(x, y))))
+    small = pairs_within(two.select("class", "n", F.explode(F.array_distinct(keys)).alias("token")), "token", "class", near)
+    # One shared feature is asked of pairs with a set above the limit, and of pairs so small that one is all they need.
+    one = orders.where((F.col("n") > PAIR_LIMIT * threshold) | (need <= 1)).select("class", "n", need.alias("need"), F.explode(head(1)).alias("token"))
+    large = pairs_within(one, "token", "class", near & ((F.greatest("a_n", "b_n") > PAIR_LIMIT) | (F.greatest("a_need", "b_need") <= 1)))
+    candidates = small.select("a_class", "b_class").unionByName(large.select("a_class", "b_class")).distinct().toDF("a", "b")
     left = orders.select(F.col("class").alias("a"), F.col("features").alias("fa"), *[F.col(f"order{s}").alias(f"a{s}") for s in (2, 3)])
     right = orders.select(F.col("class").alias("b"), F.col("features").alias("fb"), *[F.col(f"order{s}").alias(f"b{s}") for s in (2, 3)])
     both = candidates.join(left, "a").join(right, "b").where(F.arrays_overlap("a2", "b2")).where(F.arrays_overlap("a3", "b3"))

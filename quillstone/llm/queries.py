@@ -11,7 +11,7 @@ from quillstone.functions.text import shingles, words
 from quillstone.llm import language, neardup
 from quillstone.llm.pack import byte_tokens, pack
 from quillstone.llm.split import split_oversized
-from quillstone.session import table
+from quillstone.session import fence, table
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _features(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame, F.Column]]:
     """Table, key, rows and features of the two collections searched for near copies."""
     candidates = table(spark, sf_dir, "candidates").select("candidate_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))).alias("t")).distinct()
+    candidates = fence(candidates.select("candidate_id", words(F.col("t")).alias("w")))
     gold = table(spark, sf_dir, "ner_gold").select("chunk_id", F.col("chunk_text").alias("t")).distinct()
-    return [("candidates", "candidate_id", candidates, shingles(words(F.col("t")), 1)), ("ner_gold", "chunk_id", gold, shingles(words(F.col("t")), 3))]
+    gold = fence(gold.select("chunk_id", words(F.col("t")).alias("w")))
+    return [("candidates", "candidate_id", candidates, shingles(F.col("w"), 1)), ("ner_gold", "chunk_id", gold, shingles(F.col("w"), 3))]
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
