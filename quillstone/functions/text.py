@@ -12,7 +12,10 @@ def words(text: Column) -> Column:
 
 
 def shingles(tokens: Column, n: int) -> Column:
-    """Distinct 64-bit hashes of the runs of ``n`` consecutive tokens; empty below ``n`` tokens."""
+    """Distinct 64-bit hashes of the runs of ``n`` consecutive tokens; empty below ``n`` tokens.
+
+    ``tokens`` must be a column of its own behind a fence, not an expression: it is read again for every run.
+    """
     if n == 1:
         return F.array_distinct(F.transform(tokens, lambda w: F.xxhash64(w)))
     runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(tokens, i, n))))
