@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import shingles, words
-from quillstone.llm import language, neardup
+from quillstone.llm import language, names, neardup
 from quillstone.llm.pack import byte_tokens, pack
 from quillstone.llm.split import split_oversized
 from quillstone.session import fence, table
@@ -34,6 +34,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_packed(spark, sf_dir).where("piece_count > 1").select("doc_id").distinct()
 
 
+def _actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = table(spark, sf_dir, "mentions").where(F.col("label").isin("PERSON", "ORG", "GROUP")).select(F.col("text").alias("name"))
+    triples = table(spark, sf_dir, "triples")
+    events = table(spark, sf_dir, "event_results").select(F.col("perpetrator").alias("name"))
+    everything = mentions.union(triples.select("subject")).union(triples.select("object")).union(events)
+    return names.link_names(everything, "name")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(_actors(spark, sf_dir))
+
+
+def p3_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored name with its actor and the number of spellings the actor has."""
+    linked = _actors(spark, sf_dir)
+    return linked.join(linked.groupBy("actor").agg(F.count(F.lit(1)).alias("spellings")), "actor")
+
+
 def _features(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, DataFrame, F.Column]]:
     """Table, key, rows and features of the two collections searched for near copies."""
     candidates = table(spark, sf_dir, "candidates").select("candidate_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("url", F.lit(""))).alias("t")).distinct()
@@ -84,7 +102,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_groups, p5_found, p5_segments, p6_found, p6_packed)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_actors, p4_found, p4_groups, p5_found, p5_segments, p6_found, p6_packed)}
 
 
 def oracle_sql() -> dict[str, str]:
