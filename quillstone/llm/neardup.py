@@ -34,37 +34,51 @@ def classes(df: DataFrame, key: str, features: Column) -> DataFrame:
     return rows.withColumn("class", F.sha2(F.concat_ws(",", F.transform("features", lambda x: x.cast("string"))), 256)).dropDuplicates(["class", "key"])
 
 
+def _parity(features: Column, shift: int) -> Column:
+    """64 bits, each the parity of the features that fall on it: sets that differ in d features differ in at most d bits."""
+    place = lambda x: F.shiftrightunsigned(x, shift).bitwiseAND(63).cast("int")
+    return F.aggregate(features, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), place(x))))
+
+
 def class_links(members: DataFrame, threshold: float) -> DataFrame:
     """Rows (a, b, similarity) of classes a < b whose sets are at least ``threshold`` similar."""
-    sets = members.groupBy("class").agg(F.first("features").alias("features"))
-    flat = sets.select("class", F.explode("features").alias("token"))
+    sets = members.groupBy("class").agg(F.first("features").alias("features")).withColumn("id", F.monotonically_increasing_id())
+    sets = cut(sets.select("class", "id", "features", _parity(F.col("features"), 0).alias("x"), _parity(F.col("features"), 6).alias("y")))
+    flat = sets.select("id", F.explode("features").alias("token"))
     spread = flat.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Features of one set only still take places of the prefix, in front; they need no entry of their own.
-    shared = flat.join(spread, F.col("token") == F.col("t")).groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("shared"))
-    n = F.size("features")
-    orders = sets.join(shared, "class").select(
-        "class", "features", "shared", n.alias("n"),
-        # Orders two and three: the features again, sorted by hashes with other seeds.
-        *[_prefix(F.transform(F.array_sort(F.transform("features", lambda x, seed=seed: F.struct(F.xxhash64(x, F.lit(seed)).alias("h"), x.alias("x")))), lambda s: s["x"]), threshold).alias(f"order{seed}") for seed in (2, 3)],
+    shared = flat.join(spread, F.col("token") == F.col("t")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("shared"))
+    n, need = F.size("features"), F.ceil(F.size("features") * threshold - EPSILON).cast("int")
+    orders = sets.join(shared, "id").select("id", n.alias("n"), need.alias("need"), (n - F.size("shared")).alias("lone"), "x", "y", F.slice("shared", 1, F.greatest(F.least(n - need + 2, n) - (n - F.size("shared")), F.lit(0))).alias("head"))
+    orders = cut(orders.where(F.size("head") > 0))
+    # Sizes, places of the shared features and parities bound the overlap from above, whatever the sets hold.
+    least = F.ceil((F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - EPSILON)
+    reach = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    differ = lambda c: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
+    near = (
+        (F.col("a_id") < F.col("b_id"))
+        & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold - EPSILON)
+        & (reach + F.col("a_drawn") >= least)
+        & (F.greatest(differ("x"), differ("y")) <= F.col("a_n") + F.col("b_n") - 2 * least)
     )
-    orders = cut(orders)
-    lone = F.col("n") - F.size("shared")
-    need = F.ceil(F.col("n") * threshold - EPSILON).cast("int")
-    head = lambda extra: F.slice("shared", 1, F.greatest(F.least(F.col("n") - need + extra, F.col("n")) - lone, F.lit(0)))
-    near = (F.col("a_class") < F.col("b_class")) & (F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * threshold - EPSILON)
-    two = fence(orders.where(F.col("n") <= PAIR_LIMIT).select("class", "n", head(2).alias("head")))
-    keys = F.flatten(F.transform("head", lambda x, i: F.transform(F.slice("head", i + 2, F.size("head")), lambda y: F.xxhash64(x, y))))
-    small = pairs_within(two.select("class", "n", F.explode(F.array_distinct(keys)).alias("token")), "token", "class", near)
+    row = ["id", "n", "x", "y"]
+    pick = F.flatten(F.transform("head", lambda u, i: F.transform(F.slice("head", i + 2, F.size("head")), lambda v, j: F.struct(F.xxhash64(u, v).alias("token"), (F.col("lone") + i + j + 2).alias("at")))))
+    two = orders.where(F.col("n") <= PAIR_LIMIT).select(*row, F.explode(pick).alias("k")).select(*row, "k.token", "k.at", F.lit(2).alias("drawn"))
+    small = pairs_within(two, "token", "id", near)
     # One shared feature is asked of pairs with a set above the limit, and of pairs so small that one is all they need.
-    one = orders.where((F.col("n") > PAIR_LIMIT * threshold) | (need <= 1)).select("class", "n", need.alias("need"), F.explode(head(1)).alias("token"))
-    large = pairs_within(one, "token", "class", near & ((F.greatest("a_n", "b_n") > PAIR_LIMIT) | (F.greatest("a_need", "b_need") <= 1)))
-    candidates = small.select("a_class", "b_class").unionByName(large.select("a_class", "b_class")).distinct().toDF("a", "b")
-    left = orders.select(F.col("class").alias("a"), F.col("features").alias("fa"), *[F.col(f"order{s}").alias(f"a{s}") for s in (2, 3)])
-    right = orders.select(F.col("class").alias("b"), F.col("features").alias("fb"), *[F.col(f"order{s}").alias(f"b{s}") for s in (2, 3)])
-    both = candidates.join(left, "a").join(right, "b").where(F.arrays_overlap("a2", "b2")).where(F.arrays_overlap("a3", "b3"))
-    common = F.size(F.array_intersect("fa", "fb"))
-    similarity = common / (F.size("fa") + F.size("fb") - common)
-    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - EPSILON)
+    first = F.slice("head", 1, F.greatest(F.least(F.col("n") - F.col("need") + 1, F.col("n")) - F.col("lone"), F.lit(0)))
+    one = orders.where((F.col("n") > PAIR_LIMIT * threshold) | (F.col("need") <= 1)).select(*row, "need", "lone", F.posexplode(first).alias("at", "token"))
+    one = one.select(*row, "need", "token", (F.col("lone") + F.col("at") + 1).alias("at"), F.lit(1).alias("drawn"))
+    large = pairs_within(one, "token", "id", near & ((F.greatest("a_n", "b_n") > PAIR_LIMIT) | (F.greatest("a_need", "b_need") <= 1)))
+    candidates = small.select("a_id", "b_id").unionByName(large.select("a_id", "b_id")).distinct()
+    # Orders two and three: the features sorted by hashes with other seeds.
+    by_hash = lambda seed: _prefix(F.transform(F.array_sort(F.transform("features", lambda x: F.struct(F.xxhash64(x, F.lit(seed)).alias("h"), x.alias("x")))), lambda s: s["x"]), threshold)
+    whole = sets.select("id", "class", "features", by_hash(2).alias("second"), by_hash(3).alias("third"))
+    side = lambda c: whole.select(*[F.col(x).alias(f"{c}_{x}") for x in whole.columns])
+    both = candidates.join(side("a"), "a_id").join(side("b"), "b_id").where(F.arrays_overlap("a_second", "b_second")).where(F.arrays_overlap("a_third", "b_third"))
+    common = F.size(F.array_intersect("a_features", "b_features"))
+    similarity = common / (F.size("a_features") + F.size("b_features") - common)
+    return both.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold - EPSILON)
 
 
 def near_pairs(df: DataFrame, key: str, features: Column, threshold: float) -> DataFrame:
