@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import shingles, words
-from quillstone.llm import language, names, neardup
+from quillstone.llm import language, leaks, names, neardup
 from quillstone.llm.pack import byte_tokens, pack
 from quillstone.llm.split import split_oversized
 from quillstone.session import fence, table
@@ -101,8 +101,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(wrong | (F.size("written") > 1)).select("chunk_id", F.explode("written").alias("language")).distinct()
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and item that share a run of words or are close in words and order."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", ("question", "ground_truth"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).where("run").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_actors, p4_found, p4_groups, p5_found, p5_segments, p6_found, p6_packed)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_actors, p4_found, p4_groups, p5_found, p5_segments, p6_found, p6_packed, p7_found, p7_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
