@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import shingles, words
-from quillstone.llm import language, leaks, names, neardup
+from quillstone.llm import language, leaks, names, neardup, truncation
 from quillstone.llm.pack import byte_tokens, pack
 from quillstone.llm.split import split_oversized
 from quillstone.session import fence, table
@@ -110,8 +110,23 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).where("run").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
+def p8_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document, whether it was cut, and what shows it."""
+    return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_truncated(spark, sf_dir).where("cut").select("doc_id").distinct()
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, cut documents and their share for each source."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(p8_truncated(spark, sf_dir), "doc_id")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("int")), 4).alias("share"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_actors, p4_found, p4_groups, p5_found, p5_segments, p6_found, p6_packed, p7_found, p7_leaks)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_actors, p4_found, p4_groups, p5_found, p5_segments, p6_found, p6_packed, p7_found, p7_leaks, p8_found, p8_truncated, p8_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
