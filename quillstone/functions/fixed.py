@@ -1,0 +1,32 @@
+"""Fixed values that results depend on."""
+
+# Hosts whose documents are trusted.
+TRUSTED_HOSTS = (
+    "hrw.org", "amnesty.org", "ohchr.org", "tribunal.int", "court.int", "un.org", "reliefweb.int", "unhcr.org", "ocha.org", "crisisgroup.org", "prio.org", "ssrn.com",
+    "jstor.org", "cambridge.org", "oxfordjournals.org", "archive.org", "acleddata.com", "globalr2p.org", "justicehub.org", "peacepalacelibrary.nl",
+)
+# Stems that mark a relation of command.
+COMMAND_STEMS = (
+    "order", "command", "direct", "instruct", "authoris", "authoriz", "sanction", "approve", "mandate", "assign", "dispatch", "deploy", "coordinate", "supervise", "oversee",
+    "control", "led", "led the",
+)
+# Phrases that put a query off topic.
+OFF_TOPIC = (
+    "patient care", "hospital", "clinical trial", "medication", "drug dosage", "dictionary", "definition of", "synonym", "thesaurus", "vocabulary", "recipe", "cooking", "restaurant",
+    "travel", "tourism", "stock market", "cryptocurrency", "investment portfolio", "sports", "football", "basketball", "celebrity",
+)
+# Words that are no entity.
+STOP_WORDS = (
+    "the a an and or of in on at to for with by from it its this that these those is are was were be been being have has had do does did will would could should may might shall can not no nor but so yet "
+    "document page report source text article unknown"
+).split()
+# Licence by source.
+LICENCES = {"openalex": "open-access", "semanticscholar": "open-access", "arxiv": "open-access", "internetarchive": "open-access", "gdelt": "news"}
+# Search templates, by key.
+TEMPLATES = {
+    "pdf_report": '"{entity}" filetype:pdf human rights report', "hrw_amnesty": '"{entity}" site:hrw.org OR site:amnesty.org OR site:ohchr.org', "icty_icc": '"{entity}" site:tribunal.int OR site:tribunal.int OR site:court.int',
+    "un_reliefweb": '"{entity}" site:un.org OR site:reliefweb.int', "tribunal_crime": '"{entity}" war crime genocide slavery tribunal court',
+}
+DOC_TYPES = ("report", "news", "legal", "grey_literature")
+LABELS = ("PERSON", "ORG", "GROUP", "LOCATION", "FACILITY", "EVENT", "LEGAL_INSTRUMENT")
+SUFFIXES = ("pdf", "html", "htm", "docx", "txt", "md")

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import timestamp_queries
+from quillstone.plans import scalars, timestamp_queries
 
-MODULES = (timestamp_queries,)
+MODULES = (scalars, timestamp_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    return {name: query for module in MODULES for name, query in module.plans.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    return {name: sql for module in MODULES for name, sql in module.plans.sql.items()}
