@@ -16,8 +16,8 @@ TRIPLES = "(SELECT DISTINCT triple_id AS ord, subject, predicate, object, locati
 EVENTS = "(SELECT DISTINCT result_id AS ord, event_type, confidence, date, location, perpetrator, victim_group, source_chunk_id FROM event_results)"
 CANDIDATES = "(SELECT DISTINCT candidate_id AS ord, title, url, source, date, relevance_score, trigger_entity, snippet FROM candidates)"
 REGISTRY = f"""(SELECT substr(sha256(label || '::' || lower(canonical)), 1, 12) AS canonical_id, canonical AS canonical_text, label, list_sort(list_filter(names, lambda x: x <> canonical)) AS aliases, occurrences, mean_confidence
-FROM (SELECT label, key, max_by(text, struct_pack(n := n, o := -first_ord)) AS canonical, list(text) AS names, CAST(sum(n) AS BIGINT) AS occurrences, round(sum(total) / sum(n), 4) AS mean_confidence
-FROM (SELECT label, lower(trim(text)) AS key, text, count(*) AS n, sum(confidence) AS total, min(ord) AS first_ord FROM {MENTIONS} GROUP BY ALL) GROUP BY label, key))"""
+FROM (SELECT label, key, max_by(text, struct_pack(n := n, o := -first_ord)) AS canonical, list(text) AS names, CAST(sum(n) AS BIGINT) AS occurrences, round(CAST(sum(total) AS DOUBLE) / sum(n) + 1e-9, 4) AS mean_confidence
+FROM (SELECT label, lower(trim(text)) AS key, text, count(*) AS n, sum(CAST(confidence AS DECIMAL(20,6))) AS total, min(ord) AS first_ord FROM {MENTIONS} GROUP BY ALL) GROUP BY label, key))"""
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -50,9 +50,9 @@ def known_urls(spark: SparkSession, d: str) -> DataFrame:
 
 def registry(spark: SparkSession, d: str) -> DataFrame:
     """Entities that differ in case and outer spaces only, under their most frequent spelling."""
-    exact = mentions(spark, d).groupBy("label", F.lower(F.trim("text")).alias("key"), "text").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("total"), F.min("ord").alias("first_ord"))
+    exact = mentions(spark, d).groupBy("label", F.lower(F.trim("text")).alias("key"), "text").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("confidence").cast("decimal(20,6)")).alias("total"), F.min("ord").alias("first_ord"))
     rows = exact.groupBy("label", "key").agg(
-        F.max_by("text", F.struct("n", (-F.col("first_ord")).alias("o"))).alias("canonical_text"), F.collect_list("text").alias("names"), F.sum("n").alias("occurrences"), F.round(F.sum("total") / F.sum("n"), 4).alias("mean_confidence"),
+        F.max_by("text", F.struct("n", (-F.col("first_ord")).alias("o"))).alias("canonical_text"), F.collect_list("text").alias("names"), F.sum("n").alias("occurrences"), F.round(F.sum("total").cast("double") / F.sum("n") + 1e-9, 4).alias("mean_confidence"),
     )
     aliases = F.array_sort(F.filter("names", lambda x: x != F.col("canonical_text")))
     return rows.select(X.canonical_id(F.col("label"), F.col("canonical_text")).alias("canonical_id"), "canonical_text", "label", aliases.alias("aliases"), "occurrences", "mean_confidence")

@@ -154,3 +154,8 @@ def links(html: Column, base: Column) -> Column:
     found = F.filter(F.regexp_extract_all(html, F.lit('<a[^>]*href="([^"]*)"'), F.lit(1)), lambda u: (u != "") & ~u.rlike("^(mailto:|javascript:|#)"))
     origin, folder = F.regexp_extract(base, "^([a-z]+://[^/?#]*)", 1), F.regexp_replace(base, "[^/]*$", "")
     return F.transform(found, lambda u: F.when(u.rlike("^[a-z]+://"), u).when(F.startswith(u, F.lit("//")), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), u)).when(F.startswith(u, F.lit("/")), F.concat(origin, u)).otherwise(F.concat(folder, u)))
+
+
+def mean(value: Column, digits: int = 4) -> Column:
+    """Average of decimals, ties up: the sum is exact, so it depends on no order of the rows."""
+    return F.round(F.sum(value.cast("decimal(20,6)")).cast("double") / F.count(value) + 1e-9, digits)
