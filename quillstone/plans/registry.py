@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import graphs, relational, scalars, timestamp_queries
+from quillstone.plans import graphs, relational, scalars, texts, timestamp_queries, vector_queries
 
-MODULES = (scalars, relational, graphs, timestamp_queries)
+MODULES = (scalars, relational, graphs, texts, vector_queries, timestamp_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
