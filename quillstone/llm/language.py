@@ -228,5 +228,6 @@ def identify(df: DataFrame, key: str, text: str, model: np.ndarray, languages: t
                 all_segments.append([{"start": a, "end": b, "language": codes[k], "confidence": c, "words": n} for a, b, k, c, n in found])
             yield pd.DataFrame({"key": batch["key"], "language": mains, "confidence": sure, "segments": all_segments})
 
-    schema = f"key {df.schema[key].dataType.simpleString()}, language string, confidence double, segments array<struct<start:int,end:int,language:string,confidence:double,words:int>>"
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t")).mapInPandas(run, schema)
+    schema = "key string, language string, confidence double, segments array<struct<start:int,end:int,language:string,confidence:double,words:int>>"
+    rows = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("t")).mapInPandas(run, schema)
+    return rows.withColumn("key", F.col("key").cast(df.schema[key].dataType))

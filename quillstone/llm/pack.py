@@ -10,7 +10,7 @@
    open from window to window until the shard ends.
 
 Only keys, sources and sizes reach Python, never texts. Defined cases: null texts count as empty (their size is the
-end token); null sources form one queue; repeated keys are packed as separate items; an empty table gives no rows; sizes of zero or less are an error of the caller and count as 1.
+end token); null sources form one queue; null and repeated keys are packed as separate items; other columns are not read; an empty table gives no rows; sizes of zero or less are an error of the caller and count as 1.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def pack(df: DataFrame, key: str, source: str, size: F.Column, capacity: int = 8
     identified by (shard, container); the full containers of cut items have negative numbers.
     ``shard_tokens`` bounds what one task holds, about 10,000 items of average length, whatever the size of the data.
     """
-    items = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.greatest(size, F.lit(1)).cast("long").alias("size"))
+    items = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.greatest(size, F.lit(1)).cast("long").alias("size"))
     by_source = items.groupBy("source").agg(F.sum("size").alias("tokens"))
     total = by_source.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_tokens))
@@ -113,8 +113,7 @@ def pack(df: DataFrame, key: str, source: str, size: F.Column, capacity: int = 8
     share = F.coalesce(F.col("share"), F.lit(0.0))
     owed = owed.select((F.col("shard") + 0).alias("debt_shard"), F.col("source").alias("debt_source"), share.alias("share"), (share * F.col("earlier") - F.col("had")).alias("owed"))
 
-    key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField("key", key_type), T.StructField("source", T.StringType()), T.StructField("piece_index", T.LongType()), T.StructField("piece_count", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("container", T.LongType())])
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("source", T.StringType()), T.StructField("piece_index", T.LongType()), T.StructField("piece_count", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("container", T.LongType())])
 
     def run(rows: pd.DataFrame, debts: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "piece_index"], kind="stable", ignore_index=True)
@@ -127,4 +126,5 @@ def pack(df: DataFrame, key: str, source: str, size: F.Column, capacity: int = 8
         return pd.DataFrame({"key": rows["key"], "source": rows["source"], "piece_index": rows["piece_index"], "piece_count": rows["piece_count"], "tokens": lengths, "shard": rows["shard"], "container": boxes})
 
     packed = queue.groupBy("shard").cogroup(owed.groupBy("debt_shard")).applyInPandas(run, schema)
-    return full.unionByName(packed)
+    # Keys cross to Python as text: a null among numbers would turn them into floats there.
+    return full.unionByName(packed).withColumn("key", F.col("key").cast(df.schema[key].dataType))

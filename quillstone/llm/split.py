@@ -6,8 +6,8 @@ range maxima. The next piece starts ``overlap`` characters before the cut.
 
 Defined cases: a null text gives one piece of null text and length 0; an empty text one empty piece; a text of at most
 ``max_chars`` one whole piece; repeated rows give repeated pieces. Lengths count Unicode code points. Where
-a window has no natural boundary the cut falls on its last position that parts no CRLF and no combining mark. Columns of the input that
-clash with the output names are kept out of the way by selecting only ``keep``.
+a window has no natural boundary the cut falls on its last position that parts no CRLF and no combining mark. Only the
+columns in ``keep`` are carried; one named like an output comes out with ``_in`` appended. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.session import spared
+
 #: Strengths, in rising order: inside a grapheme, inside a word, after white space, after a clause, after a sentence, after a line, after a paragraph.
 GRAPHEME, INSIDE, SPACE, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(7)
 SENTENCE_MARKS, CLAUSE_MARKS, CLOSERS = ".!?…؟۔。！？", ",;:،؛—–", "\"'”’»)]"
@@ -113,15 +115,16 @@ def split_oversized(df: DataFrame, text: str, keep: Sequence[str], max_chars: in
     if not 0 <= overlap < low <= max_chars:
         raise ValueError("0 <= overlap < min_chars <= max_chars is needed")
     made = ["piece_index", "piece_start", "piece_end", "piece_count", "piece_text"]
-    if {c.lower() for c in keep} & set(made):
-        raise ValueError(f"keep must not hold any of {made}")
-    kept = [F.col(f"`{c}`") for c in keep]
+    named = spared(df.select(*[F.col(f"`{c}`") for c in keep]), made)
+    kept = [F.col(f"`{c}`").alias(named[c]) for c in keep]
     length = F.length(F.col(f"`{text}`"))
     small = df.where(F.coalesce(length, F.lit(0)) <= max_chars).select(
         *kept, F.lit(0).alias("piece_index"), F.lit(0).alias("piece_start"), F.coalesce(length, F.lit(0)).alias("piece_end"), F.lit(1).alias("piece_count"), F.col(f"`{text}`").alias("piece_text"),
     )
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.IntegerType()) for c in made[:4]] + [T.StructField("piece_text", T.StringType())])
-    names = list(keep)
+    # Whole numbers cross to Python as text: a null among them would turn them into floats there.
+    whole = {named[c]: df.schema[c].dataType for c in keep if isinstance(df.schema[c].dataType, T.IntegralType)}
+    schema = T.StructType([T.StructField(named[c], T.StringType() if named[c] in whole else df.schema[c].dataType) for c in keep] + [T.StructField(c, T.IntegerType()) for c in made[:4]] + [T.StructField("piece_text", T.StringType())])
+    names = list(named.values())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,5 +140,5 @@ def split_oversized(df: DataFrame, text: str, keep: Sequence[str], max_chars: in
             out["piece_text"] = [t[a:b] for t, s in zip(texts, spans, strict=True) for a, b in s]
             yield out
 
-    large = df.where(length > max_chars).select(*[c.alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("__text"))
-    return small.unionByName(large.mapInPandas(run, schema))
+    large = df.where(length > max_chars).select(*[(F.col(f"`{c}`").cast("string") if named[c] in whole else F.col(f"`{c}`")).alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("__text"))
+    return small.unionByName(large.mapInPandas(run, schema).withColumns({c: F.col(f"`{c}`").cast(t) for c, t in whole.items()}))
