@@ -117,7 +117,8 @@ def _dependencies(links: DataFrame, ids: DataFrame) -> DataFrame:
             for s in batch["id"]:
                 total += _one_source(adjacent, number[s])
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": [names[i] for i in at], "d": total[at]})
+        if len(at):
+            yield pd.DataFrame({"id": [names[i] for i in at], "d": total[at]})
 
     tasks = max(1, min(ids.sparkSession.sparkContext.defaultParallelism, len(names)))
     return ids.repartition(tasks).mapInPandas(run, "id string, d double").groupBy("id").agg(F.sum("d").alias("d"))

@@ -41,3 +41,15 @@ def fence(df: DataFrame) -> DataFrame:
     them written out in full, and the plan grows exponentially.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def spared(df: DataFrame, made: list[str]) -> dict[str, str]:
+    """Names for the columns of ``df`` beside new columns ``made``: a column that clashes gets ``_in`` appended."""
+    taken, out = {c.lower() for c in made}, {}
+    for c in df.columns:
+        name = c
+        while name.lower() in taken:
+            name += "_in"
+        taken.add(name.lower())
+        out[c] = name
+    return out
