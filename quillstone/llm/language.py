@@ -9,7 +9,7 @@ A text is cut into sentences and lines; a hidden chain over them with a small ch
 posterior for every language. Neighbours of one language form a segment. Capitalised words inside a sentence weigh little, and one word can favour a
 language only so far, so that names do not turn a text into another language.
 
-``TRAIN_TEXTS`` bounds the labelled texts the model is fitted on; scoring covers all texts, whole. Defined cases:
+``TRAIN_TEXTS`` bounds the labelled texts the model is fitted on, ``TRAIN_CHARS`` the length of each (longer ones are not picked); scoring covers all texts, whole. Defined cases:
 null, empty and letterless texts get no segments and a null language; a run of letters above 64 characters is scored in
 blocks of 64; ties go to the first language in the list; repeated rows get equal results; an empty table gives no rows.
 """
@@ -31,7 +31,7 @@ NAMES = {
     "bs": "bs bos bosnian bosanski hr hrv sr srp hbs sh", "tr": "tr tur turkish türkçe turkce", "sw": "sw swa swh swahili kiswahili", "ar": "ar ara arb arabic العربية",
 }
 TRAIN_TEXTS, ROUNDS, BACKOFF, STAY, WORD_LIMIT, NAME_WEIGHT = 4_000, 3, 200.0, 0.97, 4.0, 0.25
-UNKNOWN, BLOCK = 1e-7, 64
+UNKNOWN, BLOCK, TRAIN_CHARS = 1e-7, 64, 20_000
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SENTENCE = re.compile(r"[^\r\n]+?(?:[.!?؟۔…]+[\"'”’»)\]]*(?=\s)|(?=[\r\n])|$)")
 
@@ -174,7 +174,7 @@ def train(labelled: DataFrame, text: str, language: str, languages: tuple[str, .
     The sample is bounded, so it is fitted in one task; what comes back is one row for each piece of the vocabulary.
     """
     number = {code: i for i, code in enumerate(languages)}
-    sample = labelled.where(F.col(language).isin(list(languages)) & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(language).alias("l"))
+    sample = labelled.where(F.col(language).isin(list(languages)) & (F.length(F.col(text)) <= TRAIN_CHARS)).select(F.col(text).alias("t"), F.col(language).alias("l"))
     sample = sample.orderBy(F.xxhash64("t"), "l").limit(max_texts).withColumn("one", F.lit(1))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:

@@ -27,6 +27,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: Copies of one row that are numbered in one go.
+COPIES = 4096
+
+
 def byte_tokens(text: F.Column) -> F.Column:
     """Tokens of the byte-level tokenizer: one for each UTF-8 byte and one end token."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
@@ -86,14 +90,18 @@ def pack(df: DataFrame, key: str, source: str, size: F.Column, capacity: int = 8
     ``shard_tokens`` bounds what one task holds, about 10,000 items of average length, whatever the size of the data.
     """
     items = df.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{source}`").cast("string").alias("source"), F.greatest(size, F.lit(1)).cast("long").alias("size"))
-    by_source = items.groupBy("source").agg(F.sum("size").alias("tokens"))
+    # Equal rows are counted before they move and spread by their copy number, so no repeated row makes a hot shard.
+    items = items.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    by_source = items.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("tokens"))
     total = by_source.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_tokens))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("key", "size"), F.lit(shards)).cast("int"))
+    blocks = items.select("key", "source", "size", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")).alias("block"))
+    copies = blocks.select("key", "source", "size", F.explode(F.expr(f"sequence(block * {COPIES}, least(n, (block + 1) * {COPIES}) - 1)")).alias("copy"))
+    items = copies.withColumn("shard", F.pmod(F.xxhash64("key", "size", "copy"), F.lit(shards)).cast("int"))
     cut = items.where(F.col("size") > capacity).withColumn("full", F.expr(f"size div {capacity}")).withColumn("rest", F.col("size") % capacity)
     count = F.col("full") + (F.col("rest") > 0).cast("long")
-    full = cut.select("key", "source", F.explode(F.expr("sequence(0L, full - 1)")).alias("piece_index"), count.alias("piece_count"), F.lit(capacity).cast("long").alias("tokens"), "shard")
-    full = full.withColumn("container", -1 - F.abs(F.xxhash64("key", "piece_index") % F.lit(1 << 62)))
+    full = cut.select("key", "source", "copy", F.explode(F.expr("sequence(0L, full - 1)")).alias("piece_index"), count.alias("piece_count"), F.lit(capacity).cast("long").alias("tokens"), "shard")
+    full = full.withColumn("container", -1 - F.abs(F.xxhash64("key", "copy", "piece_index") % F.lit(1 << 62))).drop("copy")
     rest = cut.where("rest > 0").select("shard", "key", "source", F.col("full").alias("piece_index"), count.alias("piece_count"), F.col("rest").alias("size"))
     whole = items.where(F.col("size") <= capacity).select("shard", "key", "source", F.lit(0).cast("long").alias("piece_index"), F.lit(1).cast("long").alias("piece_count"), "size")
     queue = whole.unionByName(rest)
