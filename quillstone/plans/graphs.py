@@ -160,9 +160,13 @@ def prov_parents(spark: SparkSession, d: str) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("parents"), F.min("src").alias("first_parent"))
 
 
-@query(f"SELECT count(*) + 2 AS lines FROM (SELECT id FROM {NODES} UNION ALL SELECT source_id FROM {COLLAPSED})")
-def gexf_lines(spark: SparkSession, d: str) -> DataFrame:
-    return G.gexf(_nodes(spark, d), G.collapsed(_edges(spark, d))).agg(F.count(F.lit(1)).alias("lines"))
+_ESCAPED = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), chr(34), '&quot;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""SELECT 0 AS part, '<gexf version="1.3"><graph defaultedgetype="directed">' AS line UNION ALL SELECT 1, '<node id="' || id || '" label="' || {_ESCAPED('substr(label, 1, 80)')} || '"/>' FROM {NODES}
+ UNION ALL SELECT 2, '<edge source="' || source_id || '" target="' || target_id || '" label="' || {_ESCAPED('predicate')} || '"/>' FROM {COLLAPSED} UNION ALL SELECT 3, '</graph></gexf>'""")
+def gexf_export(spark: SparkSession, d: str) -> DataFrame:
+    return G.gexf(_nodes(spark, d), G.collapsed(_edges(spark, d)))
 
 
 @query(f"SELECT id, coalesce(label, id) AS label, coalesce(nullif(type, 'UNKNOWN'), 'url') AS type, FALSE AS ingested FROM {NODES}")

@@ -52,6 +52,18 @@ def mean_embedding(spark: SparkSession, d: str) -> DataFrame:
     return V.mean_vector(_embeddings(spark, d), "label", "embedding")
 
 
+_SIX = f"(SELECT t.*, CAST(e.embedding AS DOUBLE[]) AS v FROM {_TOP} t JOIN embeddings e ON e.vec_id = t.key WHERE rank <= 6)"
+
+
+@query(f"""WITH c AS MATERIALIZED (SELECT * FROM {_SIX}), p1 AS (SELECT * FROM c WHERE rank = 1),
+ p2 AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.query ORDER BY round(0.5 * c.cosine - 0.5 * list_cosine_similarity(c.v, p1.v), 9) DESC, c.rank) AS k FROM c JOIN p1 ON p1.query = c.query AND p1.key <> c.key) WHERE k = 1),
+ p3 AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.query ORDER BY round(0.5 * c.cosine - 0.5 * greatest(list_cosine_similarity(c.v, p1.v), list_cosine_similarity(c.v, p2.v)), 9) DESC, c.rank) AS k FROM c JOIN p1 ON p1.query = c.query AND p1.key <> c.key
+ JOIN p2 ON p2.query = c.query AND p2.key <> c.key) WHERE k = 1) SELECT query, key, 1 AS pick FROM p1 UNION ALL SELECT query, key, 2 FROM p2 UNION ALL SELECT query, key, 3 FROM p3""")
+def mmr_k3(spark: SparkSession, d: str) -> DataFrame:
+    """Three diverse picks out of the six nearest."""
+    return V.mmr(_top(spark, d, 6, with_vectors=True), 3)
+
+
 @query()
 def mmr_general(spark: SparkSession, d: str) -> DataFrame:
     return V.mmr(_top(spark, d, 16, with_vectors=True), 8)

@@ -97,7 +97,7 @@ def hdx(df: DataFrame) -> DataFrame:
 def crossref(df: DataFrame) -> DataFrame:
     rows = _json(df, "message struct<items:array<struct<title:array<string>,DOI:string,abstract:string,published:struct<`date-parts`:array<array<int>>>>>>", "message.items")
     parts = F.get(F.col("d.published.`date-parts`"), F.lit(0))
-    date = F.array_join(F.transform(parts, lambda p: F.lpad(p.cast("string"), 2, "0")), "-")
+    date = F.array_join(F.transform(parts, lambda p: F.when(p < 10, F.concat(F.lit("0"), p.cast("string"))).otherwise(p.cast("string"))), "-")
     return _rows(rows, F.get("d.title", F.lit(0)), F.concat(F.lit("https://doi.org/"), "d.DOI"), date, F.regexp_replace("d.abstract", "<[^>]+>", ""))
 
 
