@@ -73,7 +73,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A language with fewer words than this in a text is boilerplate, not a mixture.
-MIXED_WORDS = 18
+MIXED_WORDS = 21
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
