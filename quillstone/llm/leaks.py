@@ -3,11 +3,12 @@
 The space: words of the evaluation items, TF-IDF weighted with frequencies over all documents, reduced by a randomised
 singular value decomposition. Passages are runs of ``2 * HALF`` words, a new one every ``HALF``, of the items
 and of every document; any ``RUN`` <= HALF + 1 consecutive words lie whole in one passage on each side. The decomposition is fitted on all item
-passages and those of at most ``FIT_DOCUMENTS`` documents; every passage of every document with ``RUN`` consecutive
-words of the vocabulary is projected and searched against all item passages by cosine, in blocks.
+passages and those of at most ``FIT_DOCUMENTS`` documents; every passage of every document with words enough of the
+vocabulary for a run or a paraphrase is projected and searched against all item passages by cosine, in blocks.
 
-Candidates of at least ``COSINE`` are checked: the longest run of consecutive shared words (exact), and for close ones without such a run
-the longest common subsequence and the share of the answer's words, which tell a paraphrase.
+All candidates of at least ``COSINE`` are checked: for a run of consecutive shared words (exact), and without one for the
+longest common subsequence, as a share of the item passage, and the share of the answer's words that stand in the document
+there, as far around the passage as the answer is long. A paraphrase has a subsequence of at least ``ORDERED``, and the two shares add up to ``TOGETHER``.
 
 The model is bounded by the stated query set: vocabulary x ``RANK`` numbers. Documents stream through Arrow batches
 once for frequencies and once for the search; only hits are shuffled. Defined cases: null or empty texts and items
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 from quillstone.session import cut
 
-HALF, RUN, RANK, OVERSAMPLE, COSINE, CLOSE = 12, 12, 96, 16, 0.3, 0.9
-FIT_DOCUMENTS, FIT_CHARS, PARTS, BLOCK = 2_000, 50_000, 8, 8_192
+HALF, RUN, RANK, OVERSAMPLE, COSINE = 12, 12, 96, 16, 0.3
+ORDERED, TOGETHER = 0.5, 1.0
+FIT_DOCUMENTS, FIT_CHARS, PARTS, BLOCK, TABLE = 2_000, 50_000, 8, 2_048, 1 << 24
 WORDS = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,11 +50,12 @@ class Items:
     owner: np.ndarray  # position in keys of each passage
     runs: np.ndarray  # hashes of the RUN-word runs of each passage, 0 pads
     answers: list[frozenset]
+    lengths: list[int]  # words of each answer
 
     @classmethod
     def of(cls, rows: list[tuple[object, str | None, str | None]]) -> Items:
         vocabulary: dict[str, int] = {}
-        keys, passages, owner, answers = [], [], [], []
+        keys, passages, owner, answers, lengths = [], [], [], [], []
         for key, *texts in rows:
             for text in texts:
                 ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
@@ -61,9 +64,10 @@ class Items:
                         passages.append((ids[a : a + 2 * HALF] + [-1] * 2 * HALF)[: 2 * HALF])
                         owner.append(len(keys))
             answers.append(frozenset(vocabulary[w] for w in words(texts[-1])))
+            lengths.append(len(words(texts[-1])))
             keys.append(key)
         table = np.array(passages, dtype=np.int32).reshape(-1, 2 * HALF)
-        return cls(keys, vocabulary, table, np.array(owner, dtype=np.int32), _passage_runs(table), answers)
+        return cls(keys, vocabulary, table, np.array(owner, dtype=np.int32), _passage_runs(table), answers, lengths)
 
 
 def run_hashes(ids: np.ndarray) -> np.ndarray:
@@ -113,6 +117,12 @@ def eligible(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begins[begins * HALF + 2 * HALF <= len(ids)] * HALF, runs
 
 
+def holding(ids: np.ndarray, least: int) -> np.ndarray:
+    """Starts of the passages with at least ``least`` words of the vocabulary."""
+    halves = (ids >= 0).reshape(-1, HALF).sum(axis=1)
+    return np.flatnonzero((halves[:-1] > 0) & (halves[:-1] + halves[1:] >= least)) * HALF
+
+
 def project(ids: np.ndarray, starts: np.ndarray, axes: np.ndarray) -> np.ndarray:
     """Unit vectors of the passages in the latent space; ``axes`` has a last row of zeros for -1."""
     halves = np.unique(np.concatenate([starts, starts + HALF]))
@@ -215,10 +225,49 @@ def lcs(a: list[int], b: list[int]) -> int:
     return row.bit_count()
 
 
+class Subsequences:
+    """Longest common subsequences of many pairs of an item passage and a document passage, where they reach ``ORDERED``."""
+
+    def __init__(self, passages: np.ndarray, size: int) -> None:
+        self.passages, self.stride, self.table = passages, size + 1, None
+        self.lengths = (passages >= 0).sum(axis=1)
+        self.need = np.ceil(ORDERED * self.lengths - 1e-9).astype(np.int64)
+        if len(passages) * self.stride <= TABLE:  # places of each word in each passage; a larger query set is compared word by word
+            table = np.zeros((len(passages), self.stride), dtype=np.uint32)
+            for k in range(2 * HALF):
+                table[np.arange(len(passages)), passages[:, k]] |= np.uint32(1 << k)
+            table[:, -1] = 0
+            self.table = table.reshape(-1)
+
+    def _places(self, q: np.ndarray, word: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table.take(q * self.stride + np.where(word < 0, self.stride - 1, word))
+        out = np.zeros(len(q), dtype=np.uint32)
+        for k in range(2 * HALF):
+            out |= ((self.passages[q, k] == word) & (word >= 0)).astype(np.uint32) << np.uint32(k)
+        return out
+
+    def of(self, ids: np.ndarray, starts: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the pairs that reach ``ORDERED``, and their shares."""
+        at, share = [], []
+        for a in range(0, len(q), 1 << 15):
+            mine = np.arange(a, min(len(q), a + (1 << 15)))
+            row = np.zeros(len(mine), dtype=np.uint32)
+            s, p = starts[mine], q[mine]
+            for k in range(2 * HALF):
+                grown = row | self._places(p, ids.take(s + k))
+                row = grown & ~(grown - (row << np.uint32(1) | np.uint32(1)))
+                if k % 4 == 3 and k >= HALF:  # what can't reach it with all words still to come is left
+                    on = np.bitwise_count(row) + (2 * HALF - 1 - k) >= self.need[p]
+                    mine, row, s, p = mine[on], row[on], s[on], p[on]
+            at.append(mine), share.append(np.bitwise_count(row) / np.maximum(1, self.lengths[p]))
+        return (np.concatenate(at), np.concatenate(share)) if at else (np.zeros(0, dtype=np.int64), np.zeros(0))
+
+
 def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_texts: tuple[str, str]) -> DataFrame:
     """Rows (doc, item, cosine, run, subsequence, answer): run says whether RUN consecutive words are shared.
 
-    For hits with a run the other two columns are null; without one only close passages (cosine of CLOSE or more) are listed, as possible paraphrases.
+    For hits with a run the other two columns are null; the others are paraphrases. A document and item have one row, with a run if there is any, else of the passage with the largest shares.
     """
     rows = items.select(F.col(f"`{item_key}`"), *[F.col(f"`{c}`") for c in item_texts]).distinct().collect()  # the stated query set
     stated = Items.of([tuple(r) for r in rows])
@@ -235,37 +284,48 @@ def find_leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stated, axes, vectors = shared.value
+        subsequences = Subsequences(stated.passages, len(stated.vocabulary))
+        least = max(1, int(subsequences.need.min()))
         for batch in batches:
             ids, begins = batch_ids(batch["t"].tolist(), stated.vocabulary)
-            starts, runs = eligible(ids)
+            if not len(ids):
+                continue
+            starts, runs = holding(ids, least), run_hashes(ids)
+            ends = np.append(begins[1:], len(ids))
             hits = []
             for a in range(0, len(starts), BLOCK):
                 some = starts[a : a + BLOCK]
-                cosine = project(ids, some, axes) @ vectors.T
-                w, q = np.nonzero(cosine >= COSINE)
-                value = cosine[w, q]
+                cosine = (project(ids, some, axes) @ vectors.T).reshape(-1)
+                flat = np.flatnonzero(cosine >= COSINE)
+                w, q = np.divmod(flat, len(vectors))
+                value = cosine[flat]
                 verbatim = np.zeros(len(w), dtype=bool)
-                for b in range(0, len(w), 200_000):
-                    left = runs[some[w[b : b + 200_000], None] + np.arange(HALF + 1)]
-                    right = stated.runs[q[b : b + 200_000]]
+                may = np.flatnonzero((runs[some[:, None] + np.arange(HALF + 1)] != 0).any(axis=1)[w])
+                for b in range(0, len(may), 200_000):
+                    at = may[b : b + 200_000]
+                    left, right = runs[some[w[at], None] + np.arange(HALF + 1)], stated.runs[q[at]]
                     for k in range(right.shape[1]):
-                        verbatim[b : b + 200_000] |= ((left == right[:, k : k + 1]) & (left != 0)).any(axis=1)
-                keep = verbatim | (value >= CLOSE)
-                docs = np.searchsorted(begins, some[w[keep]], side="right") - 1
-                hits.append(pd.DataFrame({"at": docs, "passage": q[keep], "owner": stated.owner[q[keep]], "cosine": value[keep].astype("float64"), "run": verbatim[keep], "start": some[w[keep]]}))
+                        verbatim[at] |= ((left == right[:, k : k + 1]) & (left != 0)).any(axis=1)
+                rest = np.flatnonzero(~verbatim)
+                at, share = subsequences.of(ids, some[w[rest]], q[rest])
+                at, exact = rest[at], np.flatnonzero(verbatim)
+                docs = np.searchsorted(begins, some, side="right") - 1
+                answer = np.zeros(len(at))
+                for i, (start, owner, doc) in enumerate(zip(some[w[at]].tolist(), stated.owner[q[at]].tolist(), docs[w[at]].tolist(), strict=True)):
+                    around, words_of = stated.lengths[owner], stated.answers[owner]
+                    near = ids[max(begins[doc], start - around) : min(ends[doc], start + 2 * HALF + around)]
+                    answer[i] = len(words_of.intersection(near.tolist())) / max(1, len(words_of))
+                kept = share + answer >= TOGETHER
+                both = np.concatenate([exact, at[kept]])
+                nothing = np.full(len(exact), np.nan)
+                hits.append(pd.DataFrame({"at": docs[w[both]], "owner": stated.owner[q[both]], "cosine": value[both].astype("float64"), "run": verbatim[both], "subsequence": np.append(nothing, share[kept]), "answer": np.append(nothing, answer[kept])}))
             if not sum(map(len, hits)):
                 continue  # an empty frame has no types to send
-            found = pd.concat([h for h in hits if len(h)]).sort_values(["at", "owner", "run", "cosine"], kind="stable").drop_duplicates(["at", "owner"], keep="last")
-            sub, answer = [], []
-            for r in found.itertuples():
-                if r.run:
-                    sub.append(None), answer.append(None)
-                    continue
-                mine, theirs = ids[r.start : r.start + 2 * HALF].tolist(), [x for x in stated.passages[r.passage].tolist() if x >= 0]
-                sub.append(lcs(theirs, mine) / max(1, len(theirs)))
-                words_of = stated.answers[r.owner]
-                answer.append(len(words_of & set(mine)) / max(1, len(words_of)))
-            yield pd.DataFrame({"doc": batch["k"].iloc[found["at"]].tolist(), "item": [stated.keys[i] for i in found["owner"]], "cosine": found["cosine"].tolist(), "run": found["run"].tolist(), "subsequence": sub, "answer": answer})
+            found = pd.concat([h for h in hits if len(h)])
+            found["shares"] = found["subsequence"] + found["answer"]
+            found = found.sort_values(["at", "owner", "run", "shares", "cosine"], kind="stable").drop_duplicates(["at", "owner"], keep="last")
+            shares = {c: [None if np.isnan(x) else x for x in found[c].tolist()] for c in ("subsequence", "answer")}
+            yield pd.DataFrame({"doc": batch["k"].iloc[found["at"]].tolist(), "item": [stated.keys[i] for i in found["owner"]], "cosine": found["cosine"].tolist(), "run": found["run"].tolist(), **{c: pd.Series(x, dtype=object) for c, x in shares.items()}})
 
     found = documents.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{text}`").alias("t")).mapInPandas(search, schema)
-    return found.where("run or subsequence >= 0.6").withColumn("doc", F.col("doc").cast(key_type))
+    return found.withColumn("doc", F.col("doc").cast(key_type))

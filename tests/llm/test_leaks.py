@@ -62,3 +62,32 @@ def test_subsequence_against_brute_force():
     for _ in range(200):
         a, b = ([random.randrange(6) for _ in range(random.randrange(25))] for _ in "ab")
         assert leaks.lcs(a, b) == slow(a, b)
+
+
+def test_many_subsequences_against_one_by_one():
+    rng = np.random.default_rng(3)
+    passages = rng.integers(0, 9, (40, 24)).astype(np.int32)
+    passages[::2, 14:] = -1
+    ids = rng.integers(-1, 9, 480).astype(np.int32)
+    starts, q = (x.reshape(-1) for x in np.meshgrid(np.arange(0, 456, 12), np.arange(40)))
+    one = [leaks.lcs([x for x in passages[j].tolist() if x >= 0], ids[s : s + 24].tolist()) / (passages[j] >= 0).sum() for s, j in zip(starts, q, strict=True)]
+    want = {i: x for i, x in enumerate(one) if x >= leaks.ORDERED}
+    old = leaks.TABLE
+    try:
+        for leaks.TABLE in (old, 0):
+            at, share = leaks.Subsequences(passages, 9).of(ids, starts, q)
+            assert 0 < len(want) < len(one) and dict(zip(at.tolist(), share.tolist(), strict=True)) == want
+    finally:
+        leaks.TABLE = old
+
+
+def test_paraphrases(spark):
+    items, docs = _corpus()
+    ground = items[4][2].split()
+    # A foreign word after every eight, a fifth of the words replaced, and words of the item in no order.
+    docs += [(700, " ".join(w + (" foreignword" if k % 8 == 7 else "") for k, w in enumerate(ground))), (701, " ".join("otherword" if k % 5 == 4 else w for k, w in enumerate(ground))), (702, " ".join(sorted(ground)))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, q string, a string")
+    rows = leaks.find_leaks(d, "doc_id", "text", i, "item_id", ("q", "a")).where("doc >= 700").collect()
+    got = {r["doc"]: r for r in rows if r["item"] == 4}
+    assert set(got) == {700, 701} and not any(r["run"] for r in rows)
+    assert all(r["subsequence"] >= leaks.ORDERED and r["answer"] > 0.6 for r in got.values())
