@@ -3,8 +3,9 @@
 1. Names are brought to tokens: accents, case, punctuation, titles, particles and bracketed acronyms go; names with equal tokens are one form.
 2. A symmetric-delete index finds tokens a small edit apart: tokens meet on equal strings left after deleting up to two
    characters (one below eight), and are then checked by edit distance.
-3. Two forms are candidates if they share a token, or the most frequent neighbour of one. Tokens in more than ``HOT``
-   forms (given names, words like "council") are replaced by (token, initial of another token), and only for forms that have no rarer token.
+3. Two forms are candidates if they share a token, or the most frequent neighbour of one. For tokens in more than ``HOT``
+   forms (frequent family names, given names, words like "council") the key is (token, initial of another token), for every form that holds the token or a
+   neighbour of it. The initials of a token are its own, those of its nickname bases and those of its neighbours: whatever two tokens match by, they share one.
 4. A candidate is verified by the best assignment of its tokens: equal, a small edit, a nickname, an abbreviation, an initial, or an
    acronym of neighbouring tokens. Every word of both names must be matched; middle initials may stay over on one side.
 5. Matches without initials and acronyms are links; actors are their connected components. A form with an initial or
@@ -179,6 +180,10 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     def split(s: pd.Series) -> pd.Series:
         return s.map(lambda x: tokens(x) if isinstance(x, str) else [])
 
+    @F.pandas_udf("array<string>")
+    def initials(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: sorted({t[0], *(x[0] for x in GIVEN.get(t, ()))}))
+
     rows = names.select(F.col(f"`{name}`").alias("name")).where("name is not null").distinct()
     rows = cut(rows.select("name", split("name").alias("tokens")).withColumn("form", F.array_join("tokens", " ")).where(F.size("tokens") >= 2))
     forms = rows.select("form", "tokens").dropDuplicates(["form"])
@@ -193,9 +198,15 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     marked = flat.where(F.length("token") >= 4).join(known, "token")
     rare = marked.where(~F.col("common"))
     keys = rare.select("form", F.explode(F.array_distinct(F.array_compact(F.array("token", F.when(F.col("top_df") >= F.col("df"), F.col("top")))))).alias("key"))
-    left_over = marked.join(rare.select("form").distinct(), "form", "left_anti").select("form", F.when(F.col("df") > HOT, F.col("token")).otherwise(F.col("top")).alias("token"))
-    firsts = flat.select(F.col("form").alias("f"), F.col("token").alias("other"))
-    double = left_over.join(firsts, (F.col("form") == F.col("f")) & (F.col("token") != F.col("other"))).select("form", F.concat_ws("\t", "token", F.substr("other", F.lit(1), F.lit(1))).alias("key"))
+    # Forms that hold a hot token or a neighbour of one meet by that token and an initial of another.
+    hot = vocabulary.where((F.col("df") > HOT) & (F.length("token") >= 4)).select("token")
+    stands_for = hot.select("token", F.col("token").alias("hot")).unionByName(edges.join(hot, F.col("b") == F.col("token")).select(F.col("a").alias("token"), F.col("b").alias("hot")))
+    letters = fence(vocabulary.select("token", initials("token").alias("letters")))
+    own = letters.select("token", F.explode("letters").alias("letter"))
+    letters = own.unionByName(edges.select(F.col("a").alias("token"), F.col("b").alias("n")).join(own.withColumnRenamed("token", "n"), "n").select("token", "letter")).distinct()
+    holds = flat.join(stands_for, "token").select("form", "token", "hot")
+    firsts = flat.join(letters, "token").select(F.col("form").alias("f"), F.col("token").alias("other"), "letter")
+    double = holds.join(firsts, (F.col("form") == F.col("f")) & (F.col("token") != F.col("other"))).select("form", F.concat_ws("\t", "hot", "letter").alias("key"))
     blocks = keys.unionByName(double).distinct()
     candidates = pairs_within(blocks, "key", "form", F.col("a_form") < F.col("b_form")).select(F.col("a_form").alias("a"), F.col("b_form").alias("b")).distinct()
 

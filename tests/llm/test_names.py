@@ -61,3 +61,17 @@ def test_common_tokens_still_meet(spark):
         assert ("HUSSEIN Gedrosojit", "Hussein Gedrosojit") in got and ("Gedrosojit, Hussain", "Hussein Gedrosojit") in got
     finally:
         names.HOT = old
+
+
+def test_nicknames_and_initials_meet_under_a_common_name(spark):
+    old = names.HOT
+    names.HOT = 3
+    try:
+        groups = [["Robert Gedrosojit", "Bob Gedrosojit", "R. Gedrosojit"], ["William Gedrosojit", "Bill Gedrosojit", "Willie Gedrosojyt", "William Gedrosoyit"], ["Zeynep Gedrosojit", "Zeynep Gedrosoqit", "Xeynep Gedrosojit"]]
+        # Given names that are rare and hot, and slips of the family name in more than three forms.
+        more = [f"William {x}" for x in ("Tovarek", "Milasun", "Ostrabel", "Kelverin")] + [f"{g} Gedrosoqit" for g in ("Osman", "Emina", "Daniel", "Ulrich")]
+        df = spark.createDataFrame([(n,) for g in groups for n in g] + [(n,) for n in more], "name string")
+        got = {tuple(r) for r in names.variant_pairs(names.link_names(df, "name")).collect()}
+        assert got == {tuple(sorted(p)) for g in groups for p in combinations(g, 2)}
+    finally:
+        names.HOT = old
