@@ -100,9 +100,9 @@ class Engine:
 
     # analyse
     def contradictions(self, threshold: float = 0.65, max_pairs: int = 100) -> DataFrame:
-        pairs = evidence.assessed(self.table("events"), self.table("triples"), max_pairs).where("kind = 'event'")
+        pairs = evidence.to_verify(self.table("events"), self.table("triples"), max_pairs)
         texts = self.table("chunks").select("chunk_id", F.col("text").alias("chunk_text"))
-        return extraction.verified(evidence.claims(pairs, self.table("events"), texts), threshold)
+        return extraction.verified(evidence.all_claims(pairs, self.table("events"), self.table("triples"), texts), threshold)
 
     def silence(self, reference: DataFrame, include_empty: bool = False) -> DataFrame:
         """Gaps against a reference grid (place, quarter, intensity)."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import exprs as X
@@ -49,9 +49,29 @@ def assessed(events: DataFrame, triples: DataFrame, max_pairs: int) -> DataFrame
     return first.unionByName(relation_conflicts(triples).orderBy("a", "b").limit(max_pairs - half).select(F.lit("relation").alias("kind"), "a", "b"))
 
 
+def to_verify(events: DataFrame, triples: DataFrame, max_pairs: int) -> DataFrame:
+    """The pairs a verification run takes: at most half the budget of events, and relations for all that is left of it."""
+    first = event_conflicts(events).orderBy("a", "b").limit(max_pairs // 2).select(F.lit("event").alias("kind"), "a", "b")
+    # Fewer than max_pairs of either kind are numbered, so one task holds them.
+    number = F.row_number().over(Window.orderBy("a", "b"))
+    rest = relation_conflicts(triples).orderBy("a", "b").limit(max_pairs).select(F.lit("relation").alias("kind"), "a", "b", number.alias("n"))
+    used = first.agg(F.count(F.lit(1)).alias("used"))
+    return first.unionByName(rest.crossJoin(used).where(F.col("n") <= max_pairs - F.col("used")).select("kind", "a", "b"))
+
+
 def claims(pairs: DataFrame, events: DataFrame, texts: DataFrame, length: int = 500) -> DataFrame:
     """Pairs with the beginning of both chunks' texts."""
     text = texts.groupBy("chunk_id").agg(F.min("chunk_text").alias("chunk_text"))
     chunk = events.select(F.col("ord"), "source_chunk_id").join(text, F.col("source_chunk_id") == F.col("chunk_id"), "left").select("ord", F.coalesce(F.substr("chunk_text", F.lit(1), F.lit(length)), F.lit("not available")).alias("claim"))
     a, b = (chunk.select(F.col("ord").alias(c), F.col("claim").alias(f"claim_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("kind", "a", "b", "claim_a", "claim_b")
+
+
+def all_claims(pairs: DataFrame, events: DataFrame, triples: DataFrame, texts: DataFrame) -> DataFrame:
+    """What the verifier is asked: for events 800 characters of both chunks, for relations the predicate before 400."""
+    of_events = claims(pairs.where("kind = 'event'"), events, texts, 800)
+    of_relations = claims(pairs.where("kind = 'relation'"), triples, texts, 400)
+    for c in "ab":
+        predicate = triples.select(F.col("ord").alias(c), F.coalesce("predicate", F.lit("")).alias("predicate"))
+        of_relations = of_relations.join(predicate, c).withColumn(f"claim_{c}", F.concat(F.lit("[Relation predicate: '"), "predicate", F.lit("']\n"), f"claim_{c}")).drop("predicate")
+    return of_events.unionByName(of_relations)

@@ -45,5 +45,5 @@ def json_salvage(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def contradictions_confirmed(spark: SparkSession, d: str) -> DataFrame:
-    pairs = evidence.assessed(A.events(spark, d), A.triples(spark, d), 100).where("kind = 'event'")
-    return E.verified(evidence.claims(pairs, A.events(spark, d), A.gold(spark, d)))
+    pairs = evidence.to_verify(A.events(spark, d), A.triples(spark, d), 100)
+    return E.verified(evidence.all_claims(pairs, A.events(spark, d), A.triples(spark, d), A.gold(spark, d)))

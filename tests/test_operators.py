@@ -169,3 +169,17 @@ def test_conflicts_leave_unknown_places_out(spark):
     df = spark.createDataFrame([(1, "siege", "X", "2001"), (2, "killing", " x ", "2001-05"), (3, "killing", None, None), (4, "siege", None, None), (5, "no_event", "X", "2001")], "ord int, event_type string, location string, date string")
     assert [tuple(r) for r in evidence.event_conflicts(df).collect()] == [(1, 2)]
     assert evidence.event_conflicts(df, with_unknown=True).count() == 2
+
+
+def test_relation_pairs_are_verified(spark):
+    from quillstone.operators import evidence, extraction
+
+    events = spark.createDataFrame([(1, "siege", "Kel", "1993", "c1"), (2, "killing", "Kel", "1993", "c2")], "ord long, event_type string, location string, date string, source_chunk_id string")
+    triples = spark.createDataFrame([(i, "A", f"p{i}", "B", f"c{i}") for i in range(1, 5)], "ord long, subject string, predicate string, object string, source_chunk_id string")
+    texts = spark.createDataFrame([(f"c{i}", "x" * (600 if i < 3 else 0) + f" {i} men") for i in range(1, 5)], "chunk_id string, chunk_text string")
+    pairs = evidence.to_verify(events, triples, 6)
+    assert sorted(tuple(r) for r in pairs.collect()) == [("event", 1, 2), ("relation", 1, 2), ("relation", 1, 3), ("relation", 1, 4), ("relation", 2, 3), ("relation", 2, 4)]
+    claims = {(r["kind"], r["a"], r["b"]): r for r in evidence.all_claims(pairs, events, triples, texts).collect()}
+    assert len(claims) == 6 and claims["event", 1, 2]["claim_a"] == "x" * 600 + " 1 men"
+    assert claims["relation", 1, 3]["claim_a"] == "[Relation predicate: 'p1']\n" + "x" * 400 and claims["relation", 1, 3]["claim_b"] == "[Relation predicate: 'p3']\n 3 men"
+    assert {r["kind"] for r in extraction.verified(evidence.all_claims(pairs, events, triples, texts)).collect()} == {"event", "relation"}
