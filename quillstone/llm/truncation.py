@@ -1,7 +1,7 @@
 """Texts cut off before their end.
 
 1. Near copies: min-hash banding over runs of five words (``BANDS`` x ``ROWS``). Each text is paired with the longest text
-   of each of its buckets, so a bucket of any size costs one pair a member.
+   of each of its buckets first, which settles most, and what that leaves open with all other longer texts of its buckets, in blocks.
 2. Verified pairs (at least ``CONTAINED`` of the shorter's runs are in the longer) are aligned at the shorter's
    end. Where the longer goes on inside a word or a sentence, the shorter was cut there.
 3. All other texts are scored by how they close. A text that closes with a sentence mark is complete unless its last word
@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.pairs import pairs_within
 from quillstone.session import cut, fence
 
 BANDS, ROWS, SHINGLE, CONTAINED = 16, 3, 5, 0.8
@@ -139,11 +140,13 @@ def bands(texts: list[str]) -> list[np.ndarray | None]:
 def ends_early(a: str, b: str) -> bool:
     """Whether ``b``, a longer near copy, goes on inside a word or sentence where ``a`` ends."""
     a = re.sub(CUT_MARKS, "", a.rstrip()).rstrip().rstrip("�")
+    last = re.search(r"\S*$", a).group()
+    body = a[: len(a) - len(last)]
+    if len(body) < 30 or body[-30:] not in b:  # the shorter anchor ends the longer one
+        return False
     shingles = [set(zip(*(w[k:] for k in range(SHINGLE)), strict=False)) for w in (re.findall(r"[^\W_]+", t.lower()) for t in (a, b))]
     if not shingles[0] or len(shingles[0] & shingles[1]) < CONTAINED * len(shingles[0]):
         return False
-    last = re.search(r"\S*$", a).group()
-    body = a[: len(a) - len(last)]
     for width in (60, 30):
         anchor = body[-width:]
         at = b.rfind(anchor) if len(anchor) == width else -1
@@ -233,14 +236,21 @@ def early_copies(documents: DataFrame, text: str, hash_: Column) -> DataFrame:
     signed = texts.mapInPandas(sign, "h long, n int, bands array<long>").dropDuplicates(["h"])
     signed = cut(signed.select("h", "n", F.explode("bands").alias("band")))
     longest = signed.groupBy("band").agg(F.max(F.struct("n", "h")).alias("top"), F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("band", F.col("top.n").alias("m"), F.col("top.h").alias("b"))
-    pairs = cut(signed.join(longest, "band").where("h <> b and n < m").select(F.col("h").alias("a"), "b").distinct())
-    wanted = pairs.select(F.col("a").alias("w")).unionAll(pairs.select(F.col("b").alias("w"))).distinct()
+    members = cut(signed.join(longest, "band"))
+    pairs = cut(members.where("h <> b and n < m").select(F.col("h").alias("a"), "b").distinct())
+    wanted = members.select(F.col("h").alias("w")).distinct()
     kept = cut(texts.join(wanted, F.col("h") == F.col("w"), "left_semi").dropDuplicates(["h"]))
-    both = pairs.join(kept.select(F.col("h").alias("a"), F.col("t").alias("ta")), "a").join(kept.select(F.col("h").alias("b"), F.col("t").alias("tb")), "b")
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             early = [ends_early(a, b) for a, b in zip(batch["ta"], batch["tb"], strict=True)]
             yield pd.DataFrame({"h": batch["a"][early]})
 
-    return both.select("a", "ta", "tb").mapInPandas(align, "h long").distinct()
+    def early(some: DataFrame) -> DataFrame:
+        both = some.join(kept.select(F.col("h").alias("a"), F.col("t").alias("ta")), "a").join(kept.select(F.col("h").alias("b"), F.col("t").alias("tb")), "b")
+        return both.select("a", "ta", "tb").mapInPandas(align, "h long").distinct()
+
+    found = cut(early(pairs))
+    rows = members.select("band", "h", "n").join(found.select("h", F.lit(True).alias("settled")), "h", "left")
+    others = pairs_within(rows, "band", "h", (F.col("a_n") < F.col("b_n")) & F.col("a_settled").isNull()).select(F.col("a_h").alias("a"), F.col("b_h").alias("b")).distinct()
+    return found.unionByName(early(others.join(pairs, ["a", "b"], "left_anti")))

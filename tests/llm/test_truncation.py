@@ -69,3 +69,19 @@ def test_bands_agree_for_near_copies():
     text = " ".join(_sentence() for _ in range(40))
     a, b, c = T.bands([text, text[: int(len(text) * 0.9)], "nothing alike here at all in this one text"])
     assert (a == b).sum() >= 3 and not (a == c).any() and T.bands(["too short"]) == [None]
+
+
+def test_source_that_is_not_the_longest_copy(spark):
+    random.seed(3)
+    base = " ".join(_sentence() for _ in range(12))
+    inside = base + " The guard of the old. m"
+    rows = [(1, base + " The guard of the old. mill left the old market at noon, and the clerk of the town saw it."), (2, inside), (3, base), (4, base + "\n\n" + "The nurse of the school held the bridge and left. " * 3)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    hashes = {r[0]: r[1] for r in df.select("id", F.xxhash64("text")).collect()}
+    assert not T.ends_early(inside, rows[3][1]) and T.ends_early(inside, rows[0][1])
+    bands = T.bands
+    T.bands = lambda texts: [np.zeros(1, dtype=np.int64) for _ in texts]  # one bucket holds all
+    try:
+        assert {r["h"] for r in T.early_copies(df, "text", F.xxhash64("text")).collect()} == {hashes[2]}
+    finally:
+        T.bands = bands
