@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from quillstone.session import cut
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """Rows (node, component): the smallest node that each node is linked to. Nodes without an edge to another node are not listed.
 
     Each round links every node's neighbours to its smallest neighbour, so a path shortens by half; rounds
     grow with the logarithm of the diameter. Messages are pre-aggregated by ``min`` before the shuffle, and each round
-    is cut by a reliable checkpoint. Self-loops, nulls and repeated edges are ignored; an empty table gives no rows.
+    is cut by a reliable checkpoint. It ends when a round changes nothing; ``max_rounds`` without that is an error, never a partial result. Self-loops, nulls and repeated edges are ignored; an empty table gives no rows.
     """
     link = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     link = cut(link)
@@ -31,4 +31,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"no convergence after {max_rounds} rounds")
     return link.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(link.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -5,18 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.session import free_name
+
+def _sides(left: DataFrame, right: DataFrame) -> tuple[list[Column], list[Column]]:
+    return [F.col(f"`{c}`").alias(f"a_{c}") for c in left.columns], [F.col(f"`{c}`").alias(f"b_{c}") for c in right.columns]
+
+
+def _heavy(df: DataFrame, key: str, block: int) -> DataFrame:
+    """Keys of more than ``block`` rows, with their number of blocks."""
+    counts = df.groupBy(F.col(key).alias("k_")).agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > block)
+    return counts.select("k_", F.ceil(F.col("n_") / block).cast("int").alias("blocks_"))
+
+
+def pairs_across(left: DataFrame, right: DataFrame, key: str, member: str, where: Column, block: int = 1000) -> DataFrame:
+    """Join of two frames on ``key``: columns a_* of ``left`` and b_* of ``right`` of the pairs that pass ``where``.
+
+    Rows of ``right`` under a key of more than ``block`` rows are spread over blocks by the hash of ``member``, and each row of ``left`` meets the blocks one by one,
+    in tasks of their own. Only the keys above a block are looked up, so the look-up is a broadcast where that list is small and
+    else a join whose skewed side the adaptive planner may split. No pair is lost or doubled. Null keys meet nothing.
+    """
+    heavy = _heavy(right, key, block)
+    a, b = _sides(left, right)
+    same = F.col(f"a_{key}") == F.col(f"b_{key}")
+    plain = lambda df: df.join(heavy, F.col(key) == F.col("k_"), "left_anti")
+    light = plain(left).select(*a).join(plain(right).select(*b), same & where)
+    marked = lambda df: df.join(heavy, F.col(key) == F.col("k_"))
+    spread = marked(left).select(*a, F.explode(F.sequence(F.lit(0), F.col("blocks_") - 1)).alias("a_block_"))
+    placed = marked(right).select(*b, F.pmod(F.xxhash64(member), F.col("blocks_")).cast("int").alias("b_block_"))
+    return light.unionByName(spread.join(placed, same & (F.col("a_block_") == F.col("b_block_")) & where).drop("a_block_", "b_block_"))
 
 
 def pairs_within(df: DataFrame, key: str, member: str, where: Column, block: int = 1000) -> DataFrame:
-    """Self-join of ``df`` on ``key``: columns a_* and b_* of the pairs that pass ``where``.
+    """Self-join of ``df`` on ``key``: columns a_* and b_* of the pairs that pass ``where``; hot keys as in ``pairs_across``.
 
-    A key with more than ``block`` rows is cut into blocks by the hash of ``member``: each row meets the blocks one by one, in tasks of their own, so
-    no task holds more than a block of a hot key against its share of rows. No pair is lost or doubled.
+    ``df`` is read several times, so the caller cuts its lineage where it is dear to compute.
     """
-    blocks = free_name(df, "blocks")
-    counts = df.groupBy(F.col(key).alias("k_")).agg(F.count(F.lit(1)).alias(blocks)).where(F.col(blocks) > 1).withColumn(blocks, F.ceil(F.col(blocks) / block).cast("int"))
-    rows = df.join(counts, F.col(key) == F.col("k_")).drop("k_")
-    left = rows.select(*[F.col(c).alias(f"a_{c}") for c in df.columns], F.pmod(F.xxhash64(member), F.col(blocks)).cast("int").alias("a_block"))
-    right = rows.select(*[F.col(c).alias(f"b_{c}") for c in df.columns], F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias("b_block"))
-    return left.join(right, (F.col(f"a_{key}") == F.col(f"b_{key}")) & (F.col("a_block") == F.col("b_block")) & where).drop("a_block", "b_block")
+    return pairs_across(df, df, key, member, where, block)
