@@ -159,3 +159,29 @@ def links(html: Column, base: Column) -> Column:
 def mean(value: Column, digits: int = 4) -> Column:
     """Average of decimals, ties up: the sum is exact, so it depends on no order of the rows."""
     return F.round(F.sum(value.cast("decimal(20,6)")).cast("double") / F.count(value) + 1e-9, digits)
+
+
+def route(url: Column, content_type: Column) -> Column:
+    """download for report files, page for what a browser shows, skip for the rest; an unknown content type counts as a page."""
+    kind = F.lower(F.coalesce(content_type, F.lit("text/html")))
+    return F.when(F.contains(kind, F.lit("pdf")) | F.endswith(F.lower(url), F.lit(".pdf")), "download").when(F.contains(kind, F.lit("text/html")), "page").otherwise("skip")
+
+
+def page_text(html: Column) -> Column:
+    """Text of a page: without scripts, styles and tags, the usual entities replaced, white space single."""
+    plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), r"(?s)<[^>]*>", " ")
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
+def passage(position: Column, source: Column, geography: Column, date: Column, text: Column, length: int = 600) -> Column:
+    """A numbered passage with its source, as a search tool shows it."""
+    meta = F.concat_ws(" | ", F.nullif(geography, F.lit("")), F.nullif(date, F.lit("")))
+    head = F.concat(F.lit("[Passage "), position.cast("string"), F.lit("] Source: "), source, F.when(meta != "", F.concat(F.lit(" ("), meta, F.lit(")"))).otherwise(""), F.lit("\n"))
+    return F.concat(head, F.substr(text, F.lit(1), F.lit(length)))
+
+
+def example(asked: Column, answered: Column) -> Column:
+    """One example of a few-shot prompt."""
+    return F.concat(F.lit("Input: "), asked, F.lit("\nOutput: "), answered, F.lit("\n"))

@@ -30,3 +30,16 @@ TEMPLATES = {
 DOC_TYPES = ("report", "news", "legal", "grey_literature")
 LABELS = ("PERSON", "ORG", "GROUP", "LOCATION", "FACILITY", "EVENT", "LEGAL_INSTRUMENT")
 SUFFIXES = ("pdf", "html", "htm", "docx", "txt", "md")
+# Hosts that are never visited.
+BLOCKED_HOSTS = (
+    "dictionary.com", "merriam-webster.com", "collinsdictionary.com", "thesaurus.com", "oxfordlearnersdictionaries.co.uk", "oxforddictionaries.com", "vocabulary.com", "macmillandictionary.com", "cambridge.org/dictionary",
+    "en.wiktionary.org", "lexico.com", "reddit.com", "twitter.com", "facebook.com", "instagram.com", "youtube.com", "tiktok.com", "pinterest.com", "amazon.com", "ebay.com", "etsy.com", "tripadvisor.com", "yelp.com", "booking.com",
+)
+# Search interfaces of the sources, with the place of the quoted entity.
+SEARCH_URLS = {
+    "openalex": "https://api.openalex.org/works?per-page=25&search={q}", "semanticscholar": "https://api.semanticscholar.org/graph/v1/paper/search?limit=25&fields=title,year,abstract,openAccessPdf&query={q}",
+    "arxiv": "http://export.arxiv.org/api/query?max_results=25&search_query=all:{q}", "internetarchive": "https://archive.org/advancedsearch.php?output=json&rows=25&fl[]=identifier,title,date,description&q={q}",
+    "gdelt": "https://api.gdeltproject.org/api/v2/doc/doc?mode=artlist&format=json&maxrecords=25&query={q}", "doaj": "https://doaj.org/api/search/articles/{q}?pageSize=25", "europepmc": "https://www.ebi.ac.uk/europepmc/webservices/rest/search?format=json&pageSize=25&query={q}",
+    "pubmed": "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi?db=pubmed&retmode=json&retmax=25&term={q}", "worldbank": "https://search.worldbank.org/api/v2/wds?format=json&rows=25&qterm={q}", "hdx": "https://data.humdata.org/api/3/action/package_search?rows=25&q={q}",
+    "crossref": "https://api.crossref.org/works?rows=25&query={q}", "wikipedia": "https://en.wikipedia.org/w/api.php?action=query&format=json&generator=search&gsrlimit=3&prop=extlinks&ellimit=50&gsrsearch={q}",
+}

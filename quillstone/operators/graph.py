@@ -39,14 +39,14 @@ def edges(triples: DataFrame, registry: DataFrame, min_confidence: float = 0.5)
     lookup = name_lookup(registry)
     rows = triples.where((F.col("confidence") >= min_confidence) & F.col("subject").isNotNull() & F.col("object").isNotNull())
     rows = resolved(resolved(rows, "subject", lookup, "source"), "object", lookup, "target")
-    return rows.select("ord", "source_id", "source_label", "source_type", "target_id", "target_label", "target_type", "predicate", "confidence", "evidence", "source_chunk_id", F.col("date").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), X.is_command(F.col("predicate")).alias("is_command"))
+    return rows.select("ord", "source_id", "source_label", "source_type", "target_id", "target_label", "target_type", "predicate", "confidence", "evidence", "source_chunk_id", "location", F.col("date").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), X.is_command(F.col("predicate")).alias("is_command"))
 
 
 def nodes(registry: DataFrame, edges_: DataFrame) -> DataFrame:
-    """Registry entities, and the unresolved ends of edges."""
-    known = registry.select(F.col("canonical_id").alias("id"), F.col("canonical_text").alias("label"), F.col("label").alias("type"))
-    ends = edges_.select(F.col("source_id").alias("id"), F.col("source_label").alias("label"), F.col("source_type").alias("type"), "ord").unionByName(edges_.select(F.col("target_id").alias("id"), F.col("target_label").alias("label"), F.col("target_type").alias("type"), "ord"))
-    loose = ends.where("type = 'UNKNOWN'").groupBy("id").agg(F.min_by("label", F.struct("ord", "label")).alias("label")).withColumn("type", F.lit("UNKNOWN"))
+    """Rows (id, label, type, aliases): registry entities, and the unresolved ends of edges."""
+    known = registry.select(F.col("canonical_id").alias("id"), F.col("canonical_text").alias("label"), F.col("label").alias("type"), "aliases")
+    ends = edges_.select("ord", F.inline(F.array(*[F.struct(F.col(f"{side}_id").alias("id"), F.col(f"{side}_label").alias("label"), F.col(f"{side}_type").alias("type")) for side in ("source", "target")])))
+    loose = ends.where("type = 'UNKNOWN'").groupBy("id").agg(F.min_by("label", F.struct("ord", "label")).alias("label")).select("id", "label", F.lit("UNKNOWN").alias("type"), F.array().cast("array<string>").alias("aliases"))
     return known.unionByName(loose.join(known.select("id"), "id", "left_anti"))
 
 
@@ -65,17 +65,37 @@ def ball(edges_: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
 
 
 def seeds(nodes_: DataFrame, question: str) -> DataFrame:
-    """Nodes whose label stands in the question."""
-    return nodes_.where(F.contains(F.lit(question.lower()), F.lower("label")))
+    """Nodes whose label or one of whose aliases stands in the question."""
+    asked = F.lit(question.lower())
+    return nodes_.where(F.contains(asked, F.lower("label")) | F.exists("aliases", lambda a: F.contains(asked, F.lower(a))))
 
 
 def context(edges_: DataFrame, nodes_: DataFrame, question: str, hops: int = 2, at: str | None = None) -> DataFrame:
-    """Out-edges of the ball around the question's nodes that hold at a date."""
-    near = ball(edges_, seeds(nodes_, question), hops)
-    rows = edges_.join(near, F.col("source_id") == F.col("id"), "left_semi")
+    """Out-edges, one for each pair of ends, of the ball around the question's nodes that hold at a date."""
+    links = cut(collapsed(edges_))
+    near = ball(links, seeds(nodes_, question), hops)
+    rows = links.join(near, F.col("source_id") == F.col("id"), "left_semi")
     return rows.where(X.valid_at(F.col("valid_from"), F.col("valid_to"), at)).select("ord", "source_label", "predicate", "target_label", "valid_from", F.substr("evidence", F.lit(1), F.lit(120)).alias("evidence"))
 
 
+def prose(edges_: DataFrame, nodes_: DataFrame, ids: DataFrame, at: str | None = None) -> DataFrame:
+    """Rows (id, part, ord, line): what a model reads about each of ``ids``: the node, its aliases, its relations that hold at a date, their evidence.
+
+    A line is a row, so a node with many relations is no large value; sorted by (id, ord, part) the lines are the text.
+    """
+    mine = nodes_.join(ids.select("id").distinct(), "id", "left_semi")
+    first = F.lit(-1).cast("string")
+    head = mine.select("id", F.lit(0).alias("part"), first.alias("ord"), F.concat(F.lit("["), "type", F.lit("] "), "label").alias("line"))
+    known = mine.where(F.size("aliases") > 0).select("id", F.lit(1).alias("part"), first.alias("ord"), F.concat(F.lit("  Also known as: "), F.array_join(F.slice("aliases", 1, 5), ", ")).alias("line"))
+    rows = edges_.where(X.valid_at(F.col("valid_from"), F.col("valid_to"), at)).join(ids.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
+    since = F.when(F.col("valid_from") != "", F.concat(F.lit("valid from "), "valid_from"))
+    meta = F.concat_ws(" | ", F.nullif("valid_from", F.lit("")), F.nullif("location", F.lit("")), since)
+    order = F.lpad(F.col("ord").cast("string"), 20, "0")
+    told = rows.select(F.col("source_id").alias("id"), F.lit(2).alias("part"), order.alias("ord"), F.concat(F.lit("  → "), F.coalesce("predicate", F.lit("?")), F.lit(" → "), "target_label", F.when(meta != "", F.concat(F.lit(" ("), meta, F.lit(")"))).otherwise(""), F.lit(" [conf="), F.format_string("%.2f", F.round(F.coalesce("confidence", F.lit(0.0)) * 100) / 100), F.lit("]")).alias("line"))
+    shown = rows.where("evidence <> ''").select(F.col("source_id").alias("id"), F.lit(3).alias("part"), order.alias("ord"), F.concat(F.lit('    Evidence: "'), F.substr("evidence", F.lit(1), F.lit(120)), F.lit('"')).alias("line"))
+    return head.unionByName(known).unionByName(told).unionByName(shown)
+
+
 def degrees(edges_: DataFrame) -> DataFrame:
     """In- and out-degree on collapsed edges."""
     pairs = edges_.select("source_id", "target_id").distinct()
@@ -172,22 +192,24 @@ def _dependencies_by_joins(links: DataFrame, ids: DataFrame, block: int = 1000)
     return total.groupBy("id").agg(F.sum("d").alias("d"))
 
 
-def communities(edges_: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(edges_: DataFrame, rounds: int = 100) -> DataFrame:
     """Rows (id, community) by label propagation: each node takes the label most of its neighbours have, ties to the smallest.
 
-    A node keeps its own vote, which stops bipartite graphs from swinging. Deterministic; labels are node ids.
+    A node keeps its own vote, which stops bipartite graphs from swinging. Deterministic; labels are node ids. It ends when a round changes nothing;
+    ``rounds`` without that is an error, never a partial result.
     """
     links = _undirected(edges_)
     both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
     for _ in range(rounds):
         votes = both.join(labels, F.col("b") == F.col("id")).select(F.col("a").alias("id"), "community").unionByName(labels).groupBy("id", "community").agg(F.count(F.lit(1)).alias("n"))
-        chosen = cut(votes.groupBy("id").agg(F.min_by("community", F.struct((-F.col("n")).alias("n"), "community")).alias("community")))
-        same = chosen.join(labels.withColumnRenamed("community", "old"), "id").where("community <> old").isEmpty()
-        labels = chosen
+        chosen = votes.groupBy("id").agg(F.min_by("community", F.struct((-F.col("n")).alias("n"), "community")).alias("community"))
+        chosen = cut(chosen.join(labels.withColumnRenamed("community", "old"), "id"))
+        same = chosen.where("community <> old").isEmpty()
+        labels = chosen.drop("old")
         if same:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"no stable communities after {rounds} rounds")
 
 
 def modularity(edges_: DataFrame, labels: DataFrame) -> float:
@@ -220,3 +242,23 @@ def provenance(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = [("found", "entity", F.col("trigger_entity"), "url", F.col("url")), ("hosted", "url", F.col("url"), "domain", host), ("via", "source", F.col("source"), "url", F.col("url"))]
     edges_ = candidates.select(F.inline(F.array(*[F.struct(node(a, x).alias("src"), node(b, y).alias("dst"), F.lit(t).alias("type")) for t, a, x, b, y in links]))).where("src is not null and dst is not null").distinct()
     return nodes_, edges_
+
+
+def search_log(found: DataFrame, discovered: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows (src_type, src, dst_type, dst, type) of everything a session records, repeats included.
+
+    ``found`` (query, source, url): a query was run on a source and gave a document; ``discovered`` (url, entity): an entity was read in a document;
+    ``asked`` (query, entity, url): a model's query, with the entity and the document that led to it.
+    """
+    edge = lambda a, x, b, y, t: F.struct(F.lit(a).alias("src_type"), F.col(x).alias("src"), F.lit(b).alias("dst_type"), F.col(y).alias("dst"), F.lit(t).alias("type"))
+    rows = found.select(F.inline(F.array(edge("seed_query", "query", "source", "source", "queried"), edge("source", "source", "url", "url", "returned"), edge("seed_query", "query", "url", "url", "returned"))))
+    rows = rows.unionByName(discovered.select(F.inline(F.array(edge("url", "url", "entity", "entity", "triggered_by")))))
+    rows = rows.unionByName(asked.select(F.inline(F.array(edge("entity", "entity", "llm_query", "query", "triggered"), edge("url", "url", "llm_query", "query", "generated")))))
+    return rows.where("src is not null and dst is not null")
+
+
+def search_graph(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, label, hits) and distinct edges (src, dst, type) of a session's log; a hit is one end of one record."""
+    ends = log.select(F.inline(F.array(F.struct(F.col("src_type").alias("type"), F.col("src").alias("label")), F.struct(F.col("dst_type").alias("type"), F.col("dst").alias("label")))))
+    nodes_ = ends.groupBy("type", "label").agg(F.count(F.lit(1)).alias("hits")).select(F.concat_ws("::", "type", "label").alias("id"), "type", "label", "hits")
+    return nodes_, log.select(F.concat_ws("::", "src_type", "src").alias("src"), F.concat_ws("::", "dst_type", "dst").alias("dst"), "type").distinct()

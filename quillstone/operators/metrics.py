@@ -31,3 +31,26 @@ def judge_inputs(mentions: DataFrame, triples: DataFrame, events: DataFrame) ->
     part = lambda df, k: df.select(F.col("source_chunk_id").alias("chunk_id"), *[F.lit(int(i == k)).alias(c) for i, c in enumerate(("entities", "relations", "events"))])
     rows = part(mentions, 0).unionByName(part(triples, 1)).unionByName(part(events, 2))
     return rows.groupBy("chunk_id").agg(*[F.sum(c).alias(c) for c in ("entities", "relations", "events")])
+
+
+def report(scores: DataFrame, target: float) -> DataFrame:
+    """Rows (metric, score, target, reached): means over all rows of ``per_chunk``."""
+    mean = lambda c: F.round(F.sum(F.col(c).cast("decimal(20,4)")).cast("double") / F.count(F.lit(1)) + 1e-9, 4)
+    row = scores.agg(*[mean(c).alias(c) for c in ("precision", "recall", "f1")])
+    rows = row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("score")) for c in ("precision", "recall", "f1")])))
+    return rows.select("metric", "score", F.lit(target).alias("target"), (F.col("score") >= target).alias("reached"))
+
+
+def judge_means(judged: DataFrame) -> DataFrame:
+    """How many chunks were judged, and the means of their four scores."""
+    mean = lambda c: F.round(F.sum(F.round(c, 6).cast("decimal(20,6)")).cast("double") / F.count(F.lit(1)) + 1e-9, 4).alias(c)
+    return judged.agg(F.count(F.lit(1)).alias("chunks"), *[mean(c) for c in ("ner", "relation", "event", "overall")])
+
+
+def counts(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows (part, n)."""
+    out = None
+    for name, df in parts.items():
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -40,3 +40,16 @@ def pairs_within(df: DataFrame, key: str, member: str, where: Column, block: int
     ``df`` is read several times, so the caller cuts its lineage where it is dear to compute.
     """
     return pairs_across(df, df, key, member, where, block)
+
+
+def looked_up(df: DataFrame, key: str, member: str, values: DataFrame, block: int = 100_000) -> DataFrame:
+    """Left join of ``df`` with ``values`` (distinct ``key``), where rows of one key may be a large part of ``df``.
+
+    The values of keys with more than ``block`` rows are copied to each block of their rows. Rows without a key are not moved.
+    """
+    heavy = _heavy(df.where(F.col(key).isNotNull()), key, block)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in values.schema if f.name != key]
+    bare = df.where(F.col(key).isNull()).select("*", *none)
+    marked = df.where(F.col(key).isNotNull()).join(heavy, F.col(key) == F.col("k_"), "left").withColumn("block_", F.pmod(F.xxhash64(member), F.coalesce("blocks_", F.lit(1))).cast("int")).drop("k_", "blocks_")
+    copied = values.join(heavy, F.col(key) == F.col("k_"), "left").withColumn("block_", F.explode(F.sequence(F.lit(0), F.coalesce("blocks_", F.lit(1)) - 1))).drop("k_", "blocks_")
+    return marked.join(copied, [key, "block_"], "left").drop("block_").select(*bare.columns).unionByName(bare)

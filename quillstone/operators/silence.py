@@ -41,6 +41,24 @@ def gaps(cells: DataFrame, grid_: DataFrame, include_empty: bool = False) -> Dat
     return rows.withColumn("score", F.round(F.coalesce("intensity", F.lit(0.0)) - F.coalesce("density", F.lit(0.0)), 4))
 
 
+def export_rows(gaps_: DataFrame) -> DataFrame:
+    """Rows (place, quarter, score, reason) of the cells with more events than coverage."""
+    reason = X.silence_reason(F.coalesce("intensity", F.lit(0.0)), F.coalesce("density", F.lit(0.0)))
+    return gaps_.where("score > 0").select("place", "quarter", "score", reason.alias("reason"))
+
+
+def silent_places(gaps_: DataFrame, k: int) -> DataFrame:
+    """The ``k`` known places with the widest gap."""
+    return gaps_.where("place <> 'unknown'").groupBy("place").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "place").limit(k)
+
+
+def naming(rows: DataFrame, text: str, places: DataFrame) -> DataFrame:
+    """Rows that name one of ``places``, once for each; the places are a stated list of one search, so it is read and becomes part of the plan."""
+    names = [r["place"] for r in places.select("place").collect()]
+    hits = F.filter(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.contains(F.lower(text), F.lower(n)))
+    return rows.withColumn("place", F.explode(hits))
+
+
 def rerank(df: DataFrame, words: list[str], text: str, group: str, k: int) -> DataFrame:
     """The ``k`` rows of each group that hold most of the query's words."""
     score = F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(text), w)))

@@ -19,15 +19,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 def context_blocks(chunks: DataFrame, group: str, order: str, text: str, k: int) -> DataFrame:
     """The first ``k`` chunks of each group as numbered source blocks; only ``k`` rows of a group are gathered."""
     ranked = chunks.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("rank") <= k)
-    head = F.concat(F.lit("[Source "), "rank", F.lit("] ("), group, F.lit(" | "), F.coalesce("geography", F.lit("")), F.lit(" | "), F.coalesce("date_published", F.lit("")), F.lit(")\n"))
-    block = F.struct("rank", F.concat(head, text).alias("t"))
+    source = F.concat_ws(" | ", F.coalesce(F.col("source_filename"), F.lit("unknown")), F.nullif("geography", F.lit("")), F.nullif("date_published", F.lit("")))
+    block = F.struct("rank", F.concat(F.lit("[Source "), "rank", F.lit("] ("), source, F.lit(")\n"), F.coalesce(text, F.lit(""))).alias("t"))
     return ranked.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["t"]), "\n\n---\n\n").alias("context"))
 
 
-def parsed_entities(df: DataFrame, key: str, output: str) -> DataFrame:
-    """Actors named in tool output lines, distinct, in order of their text."""
-    lines = df.select(key, F.explode(F.split(output, "\n")).alias("line")).where(F.col("line").rlike(r"\[(PERSON|ORG|GROUP)\]"))
-    return lines.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.regexp_replace("line", r"^.*?\] ", ""))), "; ").alias("entities"))
+def parsed_output(df: DataFrame, key: str, output: str) -> DataFrame:
+    """Rows (key, kind, name, place) of the sources and actors that the lines of a tool's output name, each where it first appears."""
+    lines = df.select(key, F.posexplode(F.split(output, "\n")).alias("place", "line"))
+    source = F.when(F.contains("line", F.lit("Source:")), F.trim(F.regexp_extract("line", r"Source:([^(]*)(?:\(.*)?$", 1)))
+    actor = F.when(F.col("line").rlike(r"\[(PERSON|ORG|GROUP)\]"), F.trim(F.regexp_extract("line", r"\]([^\]]*)$", 1)))
+    rows = lines.select(key, "place", F.inline(F.array(F.struct(F.lit("source").alias("kind"), source.alias("name")), F.struct(F.lit("actor").alias("kind"), actor.alias("name"))))).where("name <> ''")
+    return rows.groupBy(key, "kind", "name").agg(F.min("place").alias("place"))
 
 
 def readable_files(df: DataFrame, name: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import evaluation, extractions, graphs, relational, scalars, streams, texts, timestamp_queries, vector_queries
+from quillstone.plans import evaluation, extractions, graphs, relational, reports, scalars, sessions, streams, texts, timestamp_queries, vector_queries
 
-MODULES = (scalars, relational, graphs, texts, vector_queries, evaluation, extractions, streams, timestamp_queries)
+MODULES = (scalars, relational, graphs, texts, vector_queries, evaluation, extractions, streams, sessions, reports, timestamp_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

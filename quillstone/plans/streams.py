@@ -39,6 +39,7 @@ def frontier_step(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT domain, attempts, CAST(hits AS BIGINT) AS hits FROM (SELECT {DOMAIN} AS domain, count(*) AS attempts, count(*) FILTER (url IN (SELECT source_url FROM source_register WHERE source_url <> '')) AS hits FROM {A.CANDIDATES} GROUP BY 1)")
 def domain_stats_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The final state of the crawler's domain counts, as a stream over the same visits leaves it."""
     return domain_stats(spark, d)
 
 
@@ -49,10 +50,14 @@ def query_queue_dedup(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("source <> 'manual'").select("query").distinct().join(rows.where("source = 'manual'").select("query"), "query", "left_anti")
 
 
-@query(f"SELECT url FROM (SELECT f.url, priority FROM {_FRONTIER} f WHERE contains(lower(f.url), 'report') OR contains(lower(f.url), 'docs')) ORDER BY priority DESC, url LIMIT 200")
+_ITEM = f"(SELECT DISTINCT ON (url) url, trigger_entity FROM {A.CANDIDATES} WHERE (relevance_score >= 0.6 OR {PDF} OR {TRUSTED}) ORDER BY url, relevance_score DESC, source DESC)"
+_ABOUT = "lower(f.url || ' ' || coalesce(trigger_entity, ''))"
+
+
+@query(f"SELECT f.url FROM {_FRONTIER} f JOIN {_ITEM} i ON i.url = f.url WHERE contains({_ABOUT}, 'guard') OR contains({_ABOUT}, 'docs') ORDER BY priority DESC, f.url LIMIT 200")
 def prune_frontier(spark: SparkSession, d: str) -> DataFrame:
-    """The 200 best items on topic, the size a drifting frontier is cut to."""
-    return S.pruned(_frontier(spark, d).withColumn("trigger_entity", F.lit("")), ["report", "docs"], 200).select("url")
+    """The 200 best items on topic, by address or entity, the size a drifting frontier is cut to."""
+    return S.pruned(_frontier(spark, d), ["guard", "docs"], 200).select("url")
 
 
 @query("SELECT user_id, event_id, k FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k % 3 = 0")

@@ -56,10 +56,41 @@ def text_sample(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(X.sampled_text(F.col("text"))).alias("sample"))
 
 
-@query(f"""SELECT source_filename, string_agg('[Source ' || rank || '] (' || source_filename || ' | ' || coalesce(geography, '') || ' | ' || coalesce(date_published, '') || ')' || chr(10) || chunk_id, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
- FROM (SELECT *, row_number() OVER (PARTITION BY source_filename ORDER BY chunk_index) AS rank FROM {A.CHUNKS}) WHERE rank <= 3 GROUP BY source_filename""")
+_TEXTS = f"(SELECT c.*, chunk_text FROM {A.CHUNKS} c JOIN (SELECT chunk_id, min(chunk_text) AS chunk_text FROM ner_gold GROUP BY 1) g ON g.chunk_id = c.chunk_id)"
+_SOURCE = "concat_ws(' | ', source_filename, nullif(geography, ''), nullif(date_published, ''))"
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    texts = A.gold(spark, d).groupBy("chunk_id").agg(F.min("chunk_text").alias("chunk_text"))
+    return A.chunks(spark, d).join(texts, "chunk_id")
+
+
+@query(f"""SELECT source_filename, md5(string_agg('[Source ' || rank || '] (' || {_SOURCE} || ')' || chr(10) || chunk_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context
+ FROM (SELECT *, row_number() OVER (PARTITION BY source_filename ORDER BY chunk_index, chunk_id) AS rank FROM {_TEXTS}) WHERE rank <= 3 GROUP BY source_filename""")
 def context_render(spark: SparkSession, d: str) -> DataFrame:
-    return store.context_blocks(A.chunks(spark, d), "source_filename", "chunk_index", "chunk_id", 3)
+    """The first three chunks of each file that have a text, as a model gets them; their hash."""
+    rows = _texts(spark, d).withColumn("place", F.struct("chunk_index", "chunk_id"))
+    return store.context_blocks(rows, "source_filename", "place", "chunk_text", 3).withColumn("context", F.md5("context"))
+
+
+@query(f"""SELECT chunk_id, md5('[Passage ' || (chunk_index + 1) || '] Source: ' || source_filename || CASE WHEN m <> '' THEN ' (' || m || ')' ELSE '' END || chr(10) || substr(chunk_text, 1, 600)) AS passage
+ FROM (SELECT *, concat_ws(' | ', nullif(geography, ''), nullif(date_published, '')) AS m FROM {_TEXTS})""")
+def passage_render(spark: SparkSession, d: str) -> DataFrame:
+    """Each chunk as a search tool shows it; its hash."""
+    c = F.col
+    return _texts(spark, d).select("chunk_id", F.md5(X.passage(c("chunk_index") + 1, c("source_filename"), c("geography"), c("date_published"), c("chunk_text"))).alias("passage"))
+
+
+@query("SELECT item_id, 'Input: ' || question || chr(10) || 'Output: ' || ground_truth || chr(10) AS block FROM eval_items")
+def few_shot_block(spark: SparkSession, d: str) -> DataFrame:
+    """Examples of a prompt, one block each."""
+    return table(spark, d, "eval_items").select("item_id", X.example(F.col("question"), F.col("ground_truth")).alias("block"))
+
+
+@query(f"SELECT chunk_id FROM {A.CHUNKS} ORDER BY source_filename, chunk_index, chunk_id LIMIT 500")
+def first_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of a run that may take 500 at most."""
+    return A.chunks(spark, d).orderBy("source_filename", "chunk_index", "chunk_id").limit(500).select("chunk_id")
 
 
 _PAGE = """'<p><a class="x" href="' || url || '">t</a><a href="mailto:a@b.example">m</a><a href="/about">u</a><a href="next.html">v</a><a href="#top">w</a></p>'"""
@@ -71,11 +102,14 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return A.candidates(spark, d).select("ord", F.array_join(X.links(html, F.col("url")), " ").alias("links"))
 
 
-@query(f"SELECT source_chunk_id, array_to_string(list_sort(list_distinct(list(text))), '; ') AS entities FROM {A.MENTIONS} WHERE label IN ('PERSON', 'ORG', 'GROUP') GROUP BY 1")
+@query(f"""SELECT source_chunk_id, kind, name, min(ord) AS place FROM (SELECT source_chunk_id, 'actor' AS kind, trim(text) AS name, row_number() OVER (PARTITION BY source_chunk_id ORDER BY ord) * 2 - 1 AS ord FROM {A.MENTIONS} WHERE label IN ('PERSON', 'ORG', 'GROUP') AND NOT contains(text, ']')
+ UNION ALL SELECT source_chunk_id, 'source', source_chunk_id, row_number() OVER (PARTITION BY source_chunk_id ORDER BY ord) * 2 - 2 FROM {A.MENTIONS} WHERE label IN ('PERSON', 'ORG', 'GROUP') AND NOT contains(text, ']')) WHERE name <> '' GROUP BY ALL""")
 def tool_output_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Tool output lines "[LABEL] name" rendered and parsed back."""
-    lines = A.mentions(spark, d).groupBy("source_chunk_id").agg(F.array_join(F.collect_list(F.concat(F.lit("["), "label", F.lit("] "), "text")), "\n").alias("output"))
-    return store.parsed_entities(lines, "source_chunk_id", "output")
+    """Tool output, a source line and an actor line for each mention, rendered and parsed back in order of appearance."""
+    line = F.concat(F.lit("Source: "), "source_chunk_id", F.lit(" (x | y)\n["), "label", F.lit("] "), "text")
+    rows = A.mentions(spark, d).where(F.col("label").isin("PERSON", "ORG", "GROUP") & ~F.contains("text", F.lit("]")))
+    output = rows.groupBy("source_chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("output"))
+    return store.parsed_output(output, "source_chunk_id", "output").select("source_chunk_id", "kind", "name", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT filename, lower(regexp_extract(filename, '\\.([^.]*)$', 1)) AS suffix FROM (SELECT DISTINCT filename FROM source_register) WHERE lower(regexp_extract(filename, '\\.([^.]*)$', 1)) IN ('pdf', 'html', 'htm', 'docx', 'txt', 'md')".replace("\\\\", "\\"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillstone.functions import exprs as X
+from quillstone.functions import fixed
 
 DOCUMENT = "title string, url string, date string, snippet string"
 
@@ -122,19 +123,110 @@ def feed(df: DataFrame, entities: list[str], per_feed: int = 10) -> DataFrame:
     return ranked.select("feed", "title", "url", "date", "snippet").where("url is not null")
 
 
-PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"openalex": openalex, "semanticscholar": semanticscholar, "arxiv": arxiv, "internetarchive": internetarchive, "gdelt": gdelt, "doaj": doaj, "europepmc": europepmc, "worldbank": worldbank, "hdx": hdx, "crossref": crossref, "wikipedia": wikipedia_links}
+def json_feed(df: DataFrame, entities: list[str], per_feed: int = 10) -> DataFrame:
+    """Items of JSON feeds; ``df`` has (feed, payload). Of the first ``per_feed`` items of a feed those that name an entity."""
+    item = "array<struct<title:string,url:string,summary:string,published_at:string>>"
+    listed = F.from_json("payload", f"results {item}, articles {item}")
+    items = df.select("feed", listed.alias("j")).select("feed", F.inline(F.slice(F.coalesce("j.results", "j.articles", F.array().cast(item)), 1, per_feed)))
+    text = F.lower(F.concat_ws(" ", "title", "summary"))
+    rows = items.where(F.exists(F.array(*[F.lit(e.lower()) for e in entities]), lambda e: F.contains(text, e)) & (F.col("url") != ""))
+    return rows.select("feed", "title", "url", F.nullif(F.substr("published_at", F.lit(1), F.lit(10)), F.lit("")).alias("date"), F.substr("summary", F.lit(1), F.lit(300)).alias("snippet"))
 
 
-def discovered(payloads: dict[str, DataFrame], entities: list[str]) -> DataFrame:
-    """Union of all sources with source, trigger entity and relevance."""
+def websearch(df: DataFrame) -> DataFrame:
+    """Results of a web search: a JSON array of (title, href or url, body)."""
+    rows = df.select(F.explode(F.from_json("payload", "array<struct<title:string,href:string,url:string,body:string>>")).alias("d"))
+    url = F.coalesce(F.nullif("d.href", F.lit("")), "d.url")
+    return _rows(rows, F.coalesce("d.title", url), url, F.lit(None).cast("string"), F.col("d.body"))
+
+
+PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"openalex": openalex, "semanticscholar": semanticscholar, "arxiv": arxiv, "internetarchive": internetarchive, "gdelt": gdelt, "doaj": doaj, "europepmc": europepmc, "worldbank": worldbank, "hdx": hdx, "crossref": crossref, "wikipedia": wikipedia_links, "duckduckgo": websearch}
+#: Sources whose results count for more if they are report files or, for a web search, on trusted hosts.
+BOOSTS = {"duckduckgo": 0.2, "wikipedia": 0.15}
+
+
+def discovered(payloads: dict[str, DataFrame], entities: list[str], limit: int | None = None) -> DataFrame:
+    """Union of all sources with source, trigger entity and relevance.
+
+    ``feed`` and ``json_feed`` take frames with (feed, payload) and name each feed as the source; ``pubmed`` takes frames with (kind, payload) of kinds
+    "ids" and "summaries". ``limit`` keeps the first rows of a source in the order its service gave, as its page size would.
+    """
     out = None
     for source, df in payloads.items():
-        rows = PARSERS[source](df).withColumn("source", F.lit(source)).withColumn("trigger_entity", X.first_contained(entities, F.col("title")))
-        rows = rows.withColumn("relevance_score", X.relevance(F.col("trigger_entity"), F.col("title"), 0.3 if source == "gdelt" else 0.4))
+        if source in ("feed", "json_feed"):
+            rows = (feed if source == "feed" else json_feed)(df, entities).withColumnRenamed("feed", "source")
+        elif source == "pubmed":
+            rows = pubmed(df.where("kind = 'ids'"), df.where("kind = 'summaries'")).withColumn("source", F.lit(source))
+        else:
+            rows = PARSERS[source](df).withColumn("source", F.lit(source))
+        rows = (rows if limit is None else rows.limit(limit)).withColumn("trigger_entity", X.first_contained(entities, F.col("title")))
+        score = X.relevance(F.col("trigger_entity"), F.concat_ws(" ", "title", "snippet") if source in ("feed", "json_feed", "duckduckgo") else F.col("title"), 0.3 if source == "gdelt" else 0.4)
+        if source in BOOSTS:
+            worth = X.is_pdf(F.col("url")) if source == "wikipedia" else X.is_pdf(F.col("url")) | X.trusted(F.col("url"))
+            score = F.when(worth, F.round(F.least(F.lit(1.0), score + BOOSTS[source]), 3)).otherwise(score)
+        rows = rows.withColumn("relevance_score", score).select("title", "url", "date", "snippet", "source", "trigger_entity", "relevance_score")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def requests(entities: DataFrame) -> DataFrame:
+    """Rows (source, entity, url): what each search interface is asked for each entity."""
+    patterns = F.inline(F.array(*[F.struct(F.lit(k).alias("source"), F.lit(v).alias("pattern")) for k, v in fixed.SEARCH_URLS.items()]))
+    return entities.select("entity", patterns).select("source", "entity", F.replace("pattern", F.lit("{q}"), F.url_encode("entity")).alias("url"))
+
+
+def fetch_totals(found: DataFrame, above: DataFrame, fetched_: DataFrame) -> DataFrame:
+    """One row of counts of a fetch run; ``fetched_`` has the chunks each document gave."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("one_", F.lit(1))
+    totals = fetched_.agg(F.count(F.lit(1)).alias("fetched"), F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("chunks_added"), F.count_if(F.col("chunks") == 0).alias("skipped")).withColumn("one_", F.lit(1))
+    return one(found, "candidates_found").join(one(above, "above_threshold"), "one_").join(totals, "one_").drop("one_")
+
+
+def content_types(rows: DataFrame, head: Callable[[str], str | None]) -> DataFrame:
+    """``rows`` (url, …) with content_type, asked with ``head``; a request that fails counts as a page."""
+
+    @F.pandas_udf("string")
+    def ask(urls: pd.Series) -> pd.Series:
+        def one(url: str) -> str:
+            try:
+                return (head(url) or "text/html").lower()
+            except Exception:  # noqa: BLE001  an unreachable header is no reason to skip the page
+                return "text/html"
+
+        return urls.map(one)
+
+    return rows.withColumn("content_type", ask.asNondeterministic()("url"))
+
+
+def downloaded(rows: DataFrame, fetch: Callable[[str], bytes], folder: str) -> DataFrame:
+    """Rows (url, path, bytes, error): each (url, filename) is written to ``folder``, which all executors must share.
+
+    A file is written under another name and then renamed, so a task that runs again leaves no half of one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import uuid
+
+        for batch in batches:
+            out = []
+            for url, name in zip(batch["url"], batch["filename"], strict=True):
+                path = os.path.join(folder, name)
+                try:
+                    body = fetch(url)
+                    os.makedirs(folder, exist_ok=True)
+                    part = f"{path}.{uuid.uuid4().hex}"
+                    with open(part, "wb") as f:
+                        f.write(body)
+                    os.replace(part, path)
+                    out.append((url, path, len(body), None))
+                except Exception as error:  # noqa: BLE001  one bad file must not end the task
+                    out.append((url, None, 0, str(error)[:200]))
+            yield pd.DataFrame(out, columns=["url", "path", "bytes", "error"])
+
+    return rows.select("url", "filename").repartition(X.domain(F.col("url"))).mapInPandas(run, "url string, path string, bytes long, error string")
+
+
 def fetched(requests: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
     """Rows (url, payload, error) of requests (url); spread by host, so that one host is asked by few tasks at once."""
 
@@ -151,8 +243,15 @@ def fetched(requests: DataFrame, fetch: Callable[[str], str | None]) -> DataFram
     return requests.repartition(X.domain(F.col("url"))).mapInPandas(run, "url string, payload string, error string")
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (source, file, payload) of a folder of any file system: each file is one payload, its parent folder the source."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    path = F.split("path", "/")
+    return files.select(F.get(path, F.size(path) - 2).alias("source"), F.get(path, F.size(path) - 1).alias("file"), F.col("content").cast("string").alias("payload"))
+
+
 class StoredPayloads(DataSource):
-    """``spark.read.format("payloads").load(folder)``: each file is one payload, its parent folder the source."""
+    """``spark.read.format("payloads").load(folder)``: as ``stored``, for a folder that the driver and all executors see under one path."""
 
     @classmethod
     def name(cls) -> str:

@@ -6,8 +6,9 @@ each source is a mixture of the two, whose weights come from expectation-maximis
 towards a reading in proportion to weight times likelihood, which is 0 where the reading is no date. Only three counts
 for each source enter: values valid both ways, day-first only, month-first only.
 
-A declared order is prior evidence, worth ``DECLARED`` times the source's own values; it settles every value that is
-valid under it. A value that is impossible in the declared order is no date. Without a declared order a posterior under ``SURE`` is marked ambiguous and the value keeps both readings.
+A declared order is prior evidence, worth ``DECLARED`` times the source's own values, and it rules out the other reading: a value that is
+impossible in the declared order is no date. Values valid both ways are read by their posterior. Where that is under ``SURE``
+the value is marked ambiguous, and ``other_day`` has the day of the less probable reading.
 
 Normal form: instants ``YYYY-MM-DDTHH:MM:SS.ffffffZ``, days ``YYYY-MM-DD``, months ``YYYY-MM``, years ``YYYY``; digits beyond
 microseconds are dropped. Defined cases: null, empty, placeholder, unparsable and impossible values give a null normal
@@ -22,7 +23,7 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.session import fence, spared
+from quillstone.session import cut, fence, spared
 
 DECLARED, SURE, ROUNDS = 1000.0, 0.9, 40
 
@@ -89,14 +90,19 @@ CLOCK = r"(?i)^[t ,]*(\d{1,2}):?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)? ?(?:(am|pm)(
 OFFSET = r"(?i)^(?:utc|gmt)? ?([+-])(\d{1,2})(?::?(\d{2}))?$"
 
 
+def _mixture(group: Column, order: Column) -> Column:
+    """Rows of one source with different declared orders are mixtures of their own."""
+    return F.concat(F.coalesce(group.cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(order, F.lit("")))
+
+
 def parsed(df: DataFrame, value: str, zone: Column, order: Column, group: Column) -> DataFrame:
-    """``df`` with normal_form, precision, posterior and ambiguous.
+    """``df`` with normal_form, precision, posterior, ambiguous and other_day.
 
     ``zone`` and ``order`` (dmy or mdy) are the declared defaults, null where there are none; ``group`` names the source whose mixture is fitted.
     """
-    names = spared(df, ["normal_form", "precision", "posterior", "ambiguous"])
+    names = spared(df, ["normal_form", "precision", "posterior", "ambiguous", "other_day"])
     text = F.col("__v")
-    x = df.select(F.struct(*[F.col(f"`{c}`").alias(name) for c, name in names.items()]).alias("__row"), clean(F.col(f"`{value}`")).alias("__v"), zone.alias("__zone"), order.alias("__order"), group.cast("string").alias("__group"))
+    x = df.select(F.struct(*[F.col(f"`{c}`").alias(name) for c, name in names.items()]).alias("__row"), clean(F.col(f"`{value}`")).alias("__v"), zone.alias("__zone"), order.alias("__order"), _mixture(group, order).alias("__group"))
     shape = F.lit(None).cast("string")
     for name, pattern in reversed(SHAPES.items()):
         shape = F.when(text.rlike(pattern), F.lit(name)).otherwise(shape)
@@ -118,7 +124,8 @@ def parsed(df: DataFrame, value: str, zone: Column, order: Column, group: Column
         .when((s == "week") & b.between(1, 53), _week_day(y, b, c))
     )
     x = x.withColumns({"__y": F.when(y >= 1, y), "__m": F.when(m1.between(1, 12), m1), "__day_first": day1, "__month_first": F.when(s == "year_last", _date(y, a, b))})
-    return fence(_normal(_choose(fence(x))))
+    # The parsed parts are read twice, for the fit and for the choice, so they are kept.
+    return fence(_normal(_choose(cut(fence(x)))))
 
 
 def _week_day(y: Column, week: Column, day: Column) -> Column:
@@ -128,8 +135,8 @@ def _week_day(y: Column, week: Column, day: Column) -> Column:
     return F.when((week <= 52) | (F.weekofyear(found) == 53), found)
 
 
-def _choose(x: DataFrame) -> DataFrame:
-    """Fit the mixture of each group and add __day, posterior and ambiguous."""
+def _orders(x: DataFrame) -> DataFrame:
+    """Rows (__group, both, dmy, mdy, declared, weight): the fitted weight of day-first dates in each group."""
     two = F.col("__shape") == "year_last"
     d, m = F.col("__day_first").isNotNull(), F.col("__month_first").isNotNull()
     counts = x.where(two & (d | m)).groupBy("__group").agg(
@@ -140,21 +147,38 @@ def _choose(x: DataFrame) -> DataFrame:
     prior_m = 1.0 + F.when(F.col("declared") == "mdy", n * DECLARED).otherwise(F.lit(0.0))
     # One round: values valid both ways are shared out by the weight (E), then the weight is re-estimated (M).
     weight = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(0.5), lambda w, _: (prior_d + F.col("dmy") + F.col("both") * w) / (prior_d + prior_m + n))
-    fitted = counts.select(F.col("__group").alias("__g"), weight.alias("__w"))
+    return counts.select("__group", "both", "dmy", "mdy", "declared", weight.alias("weight"))
+
+
+def _choose(x: DataFrame) -> DataFrame:
+    """Fit the mixture of each group and add __day, posterior, ambiguous and other_day."""
+    two = F.col("__shape") == "year_last"
+    fitted = _orders(x).select(F.col("__group").alias("__g"), F.col("weight").alias("__w"))
     x = x.join(fitted, F.col("__group").eqNullSafe(F.col("__g")), "left").drop("__g")
+    # A declared order rules the other reading out; what is left of the two is weighed.
+    d, m = F.col("__day_first").isNotNull() & (F.coalesce("__order", F.lit("dmy")) == "dmy"), F.col("__month_first").isNotNull() & (F.coalesce("__order", F.lit("mdy")) == "mdy")
     w = F.coalesce(F.col("__w"), F.lit(0.5))
-    like_d, like_m = w * d.cast("double"), (1 - w) * m.cast("double")
-    post = F.when(two & (d | m), like_d / (like_d + like_m)).otherwise(F.lit(1.0))
-    declared = F.col("__order")
-    # A declared order excludes the other reading; otherwise the more probable reading wins.
-    first = F.when(declared.isNotNull(), declared == "dmy").otherwise(post >= 0.5)
+    either = F.col("__day_first").isNotNull() & F.col("__month_first").isNotNull()
+    first = F.when(either, w >= 0.5).otherwise(d)
+    sure = F.when(two & either, F.greatest(w, 1 - w)).otherwise(F.lit(1.0))
+    chosen = F.when(first & d, F.col("__day_first")).when(~first & m, F.col("__month_first"))
+    ambiguous = two & either & (sure < SURE) & (F.col("__day_first") != F.col("__month_first"))
     return x.withColumns({
-        "__day": F.when(two, F.when(first, F.col("__day_first")).otherwise(F.col("__month_first"))).otherwise(F.col("__day_first")),
-        "posterior": F.when(two & declared.isNull(), F.greatest(post, 1 - post)).otherwise(F.lit(1.0)),
-        "ambiguous": two & declared.isNull() & (F.greatest(post, 1 - post) < SURE) & (F.col("__day_first") != F.col("__month_first")),
+        "__day": F.when(two, chosen).otherwise(F.col("__day_first")), "posterior": sure, "ambiguous": ambiguous,
+        "other_day": F.when(ambiguous, F.when(first, F.col("__month_first")).otherwise(F.col("__day_first")).cast("string")),
     })
 
 
+def fitted_orders(df: DataFrame, value: str, order: Column, group: Column) -> DataFrame:
+    """Rows (source, both, dmy, mdy, declared, weight): values valid both ways, day-first only and month-first only, and the fitted weight of day first."""
+    text = clean(F.col(f"`{value}`"))
+    x = fence(df.select(text.alias("__v"), order.alias("__order"), group.cast("string").alias("__group")))
+    x = x.where(F.col("__v").rlike(SHAPES["year_last"]) & (F.length("__v") <= 80))
+    a, b, c = (_int(F.regexp_extract("__v", SHAPES["year_last"], i)) for i in (1, 2, 3))
+    x = fence(x.select("__group", "__order", F.lit("year_last").alias("__shape"), _date(F.when(c >= 1, c), b, a).alias("__day_first"), _date(F.when(c >= 1, c), a, b).alias("__month_first")))
+    return _orders(x).withColumnRenamed("__group", "source")
+
+
 def _instant_text() -> Column:
     """Text of __micros, microseconds since 1970 in UTC, whatever the session's zone."""
     days = F.expr("__micros div 86400000000 - case when __micros % 86400000000 < 0 then 1 else 0 end")
@@ -185,4 +209,4 @@ def _normal(x: DataFrame) -> DataFrame:
     month = F.concat(F.lpad(F.col("__y").cast("string"), 4, "0"), F.lit("-"), F.lpad(F.col("__m").cast("string"), 2, "0"))
     precision = F.when((s == "epoch") | (F.col("__p3") != ""), F.lit("instant")).when(s.isin("name_year", "month_year", "year_month"), F.lit("month")).when(s == "year", F.lit("year")).when(s.isNotNull(), F.lit("day"))
     form = F.when(precision == "instant", _instant_text()).when(precision == "month", month).when(precision == "year", F.lpad(F.col("__y").cast("string"), 4, "0")).when(precision == "day", day.cast("string"))
-    return x.withColumn("normal_form", form).withColumn("precision", F.when(form.isNotNull(), precision)).select("__row.*", "normal_form", "precision", "posterior", "ambiguous")
+    return x.withColumn("normal_form", form).withColumn("precision", F.when(form.isNotNull(), precision)).select("__row.*", "normal_form", "precision", "posterior", "ambiguous", F.when(form.isNotNull(), F.col("other_day")).alias("other_day"))

@@ -90,3 +90,16 @@ def test_found(spark, sf):
     rows = df.collect()
     form = re.compile(r"\d{4}(-\d\d(-\d\d(T\d\d:\d\d:\d\d\.\d{6}Z)?)?)?$")
     assert rows and all(form.match(r["normal_form"]) for r in rows)
+
+
+def test_sources_without_a_declared_order(spark):
+    from quillstone.plans import timestamp_queries as Q
+
+    d = "/root/testdata/sf0.01"
+    orders = Q.p2_orders(spark, d).where("day_order is not null and `both` + dmy + mdy >= 10").collect()
+    assert len(orders) >= 3 and all((r["weight"] >= 0.5) == (r["day_order"] == "dmy") for r in orders)
+    declared = {(r["tbl"], r["row_key"], r["value"]): r["normal_form"] for r in Q.p2_normalised(spark, d).where("normal_form is not null").collect()}
+    fitted = {(r["tbl"], r["row_key"], r["value"]): r["normal_form"] for r in Q.p2_undeclared(spark, d).collect()}
+    assert sum(fitted[k] == v for k, v in declared.items()) > 0.999 * len(declared)
+    loose = Q.p2_unsourced(spark, d).where("ambiguous").collect()
+    assert loose and all(r["posterior"] < T.SURE and r["other_day"] != r["normal_form"][:10] for r in loose)
