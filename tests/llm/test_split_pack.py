@@ -74,18 +74,65 @@ def test_pack_is_complete_and_within_capacity(spark):
     assert _packed(df.limit(0)) == []
 
 
+def _shares(rows, of, by):
+    total, part = {}, {}
+    for r in rows:
+        if r["container"] >= 0:
+            total[by(r)] = total.get(by(r), 0) + r["tokens"]
+            part[by(r)] = part.get(by(r), 0) + r["tokens"] * (r["source"] == of)
+    return {k: part[k] / total[k] for k in total}
+
+
 def test_windows_hold_target_mixture():
-    sources = np.array(["a"] * 6000 + ["b"] * 2000)
-    sizes = np.full(8000, 10)
-    windows, _ = pack.drr_order(sources, sizes, {"a": 0.75, "b": 0.25}, {}, 4000)
-    for w in windows[:-1]:
-        share = sum(sizes[i] for i in w if sources[i] == "b") / sum(sizes[i] for i in w)
-        assert abs(share - 0.25) < 0.02
-    assert sorted(i for w in windows for i in w) == list(range(8000))
-
-
-def test_deficit_carries_between_shards():
-    sources, sizes = np.array(["a"] * 500 + ["b"] * 500), np.full(1000, 10)
-    windows, _ = pack.drr_order(sources, sizes, {"a": 0.5, "b": 0.5}, {"a": 2000.0, "b": -2000.0}, 2000)
-    first = windows[0]
+    random.seed(6)
+    sources = random.choices(["a", "b", None], [75, 20, 5], k=12000)
+    sizes = np.array([random.randint(1, 60) for _ in sources])
+    windows, boxes, owed = pack.fill_windows(sources, sizes, {"a": 0.7, "b": 0.2, None: 0.1}, {}, 200, 40)
+    used = np.bincount(boxes, weights=sizes)
+    assert used.max() <= 200 and sizes.sum() / (200 * len(used)) > 0.99
+    for w in range(10):  # the third source, too small for its target, lasts longer than this
+        mine = [i for i in np.flatnonzero(windows == w)]
+        assert abs(sum(sizes[i] for i in mine if sources[i] == "b") / sizes[mine].sum() - 0.2) < 0.02
+    assert all(len(set(windows[boxes == b])) == 1 for b in range(len(used)))
+
+
+def test_deficit_carries_into_the_first_window():
+    sources, sizes = ["a"] * 500 + ["b"] * 500, np.full(1000, 10)
+    windows, _, owed = pack.fill_windows(sources, sizes, {"a": 0.5, "b": 0.5}, {"a": 1000.0, "b": -1000.0}, 100, 20)
+    first = np.flatnonzero(windows == 0)
     assert sum(sources[i] == "a" for i in first) > 0.9 * len(first)
+
+
+def test_oversized_items_do_not_unbalance_the_mixture(spark):
+    """20,000 items of two sources in equal parts, and 200 items of five times the capacity in one of them, over 100 shards."""
+    rows = [(i, "ab"[i % 2], 5 + i * 7 % 11) for i in range(20000)] + [(100_000 + i, "a", 5003) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    out = _packed(df, capacity=1000, window=1, shard_tokens=2000) + [r.asDict() | {"shard": -1 - r["shard"]} for r in _packed(df, capacity=100, window=4, shard_tokens=2000)]
+    fine = [r for r in out if r["shard"] < 0 and r["container"] >= 0]
+    last = {}
+    for r in fine:
+        last[r["shard"]] = max(last.get(r["shard"], 0), r["window"])
+    assert len(last) >= 100
+    for (_shard, window), share in _shares([r for r in fine if r["window"] < last[r["shard"]]], "b", lambda r: (r["shard"], r["window"])).items():
+        assert abs(share - 0.5) < 0.06, window  # windows of 400 tokens, items of up to 15
+    big = _packed(df, capacity=1000, window=16, shard_tokens=40_000)
+    last = {}
+    for r in big:
+        if r["container"] >= 0:
+            last[r["shard"]] = max(last.get(r["shard"], 0), r["window"])
+    for (_shard, window), share in _shares([r for r in big if r["container"] >= 0 and r["window"] < last[r["shard"]]], "b", lambda r: (r["shard"], r["window"])).items():
+        assert abs(share - 0.5) < 0.02, window
+    used = {}
+    for r in big:
+        used[r["shard"], r["container"]] = used.get((r["shard"], r["container"]), 0) + r["tokens"]
+    assert sum(used.values()) / (1000 * len(used)) > 0.99 and max(used.values()) <= 1000
+    assert sum(r["tokens"] for r in big) == sum(r[2] for r in rows)
+
+
+def test_many_small_sources_are_spread_over_shards(spark):
+    df = spark.createDataFrame([(i, f"s{i}", 100) for i in range(2000)], "doc_id long, source string, tokens long")
+    out = _packed(df, capacity=1000, window=4, shard_tokens=20_000)
+    by_shard = {}
+    for r in out:
+        by_shard[r["shard"]] = by_shard.get(r["shard"], 0) + r["tokens"]
+    assert len(by_shard) == 10 and max(by_shard.values()) < 40_000 and sum(by_shard.values()) == 200_000
