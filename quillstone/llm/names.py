@@ -2,17 +2,17 @@
 
 1. Names are brought to tokens: accents, case, punctuation, titles, particles and bracketed acronyms go; names with equal tokens are one form.
 2. A symmetric-delete index finds tokens a small edit apart: tokens meet on equal strings left after deleting up to two
-   characters (one below eight), and are then checked by edit distance.
-3. Two forms are candidates if they share a token, or the most frequent neighbour of one. For tokens in more than ``HOT``
-   forms (frequent family names, given names, words like "council") the key is (token, initial of another token), for every form that holds the token or a
-   neighbour of it. The initials of a token are its own, those of its nickname bases and those of its neighbours: whatever two tokens match by, they share one.
-4. A candidate is verified by the best assignment of its tokens: equal, a small edit, a nickname, an abbreviation, an initial, or an
-   acronym of neighbouring tokens. Every word of both names must be matched; middle initials may stay over on one side.
+   characters (one below seven), and are then checked by edit distance.
+3. Two forms match by the best assignment of their tokens: equal, a small edit, a nickname, an abbreviation, an initial, or an acronym of neighbouring
+   tokens. Every word of both names must be matched, at least one of them whole (equal, a small edit or a nickname); middle initials may stay over on one side.
+4. Candidates are complete: each way in which the whole word can match is a key that both forms hold (the token, of two neighbours the more frequent one, each
+   nickname base). Where more than ``HOT`` forms hold a key, it is refined by the ways in which the rarest other token of one form can match any token of
+   the other, as it must: whole, by its initial, as an abbreviation or as an acronym. Whether a key is refined depends on the key alone, so both forms agree and no pair is lost.
 5. Matches without initials and acronyms are links; actors are their connected components. A form with an initial or
    acronym joins an actor only if all it matches is one actor; otherwise it is ambiguous and joins none.
 
-Defined cases: null and empty names, and names of fewer than two tokens, are linked to nothing; very long names
-are compared by their tokens like any others, with at most ``MAX_TOKENS`` tokens (names beyond that link only if their forms are equal); repeated rows count once; an empty table gives no rows.
+Defined cases: null and empty names, and names of fewer than two tokens, are linked to nothing; a text of more
+than ``MAX_TOKENS`` words is no name and links only where its form is equal; repeated rows count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators.components import connected_components
-from quillstone.operators.pairs import pairs_within
+from quillstone.operators.pairs import pairs_across, pairs_within
 from quillstone.session import cut, fence
 
-HOT, MAX_TOKENS = 200, 12
+HOT, MAX_TOKENS = 30, 32
 # Titles, particles and common forms of given names.
 TITLES = frozenset("dr mr mrs ms miss sir gen general col colonel capt captain cmdr commander maj major lt lieutenant sgt sergeant judge justice prof professor hon rev fr sheikh imam president minister".split())
 PARTICLES = frozenset("the of and for de la le al el von van".split())
@@ -107,41 +107,80 @@ def affinity(a: str, b: str) -> tuple[float, bool]:
     return 0.0, False
 
 
-def assign(a: list[str], b: list[str]) -> tuple[float, bool, set[int], set[int]]:
-    """Best assignment of tokens: its worth, whether initials are used, and the matched positions."""
-    best: dict[int, tuple[float, bool, int]] = {0: (0.0, False, 0)}
-    for i, x in enumerate(a):
+def _assign_few(worth: list[list[float]]) -> list[tuple[int, int]]:
+    """Assignment of the greatest total worth, over all subsets of the columns; for up to eight columns."""
+    best: dict[int, tuple[float, tuple[tuple[int, int], ...]]] = {0: (0.0, ())}
+    for i, row in enumerate(worth):
         after = dict(best)
-        for used, (worth, weak, mine) in best.items():
-            for j, y in enumerate(b):
-                if used >> j & 1:
-                    continue
-                w, initial = affinity(x, y)
-                if w:
-                    key, value = used | 1 << j, (worth + w, weak or initial, mine | 1 << i)
-                    if key not in after or after[key][0] < value[0]:
-                        after[key] = value
+        for used, (total, pairs) in best.items():
+            for j, w in enumerate(row):
+                if w and not used >> j & 1:
+                    key = used | 1 << j
+                    if key not in after or after[key][0] < total + w:
+                        after[key] = (total + w, (*pairs, (i, j)))
         best = after
-    used, (worth, weak, mine) = max(best.items(), key=lambda kv: (kv[1][0], -kv[0]))
-    return worth, weak, {i for i in range(len(a)) if mine >> i & 1}, {j for j in range(len(b)) if used >> j & 1}
+    return list(max(best.items(), key=lambda kv: (kv[1][0], -kv[0]))[1][1])
+
+
+def _assign_many(worth: list[list[float]]) -> list[tuple[int, int]]:
+    """The same by shortest augmenting paths, for any number of columns."""
+    n, m = len(worth), max(len(worth), len(worth[0]))
+    cost = [[-w for w in row] + [0.0] * (m - len(row)) for row in worth]
+    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        least, back, seen = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while owner[at]:
+            seen[at] = True
+            row, delta, to = owner[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not seen[j]:
+                    c = cost[row - 1][j - 1] - u[row] - v[j]
+                    if c < least[j]:
+                        least[j], back[j] = c, at
+                    if least[j] < delta:
+                        delta, to = least[j], j
+            for j in range(m + 1):
+                if seen[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            at = to
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    return [(owner[j] - 1, j - 1) for j in range(1, len(worth[0]) + 1) if owner[j] and worth[owner[j] - 1][j - 1]]
+
+
+def assign(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions (in a, in b) of the tokens matched by the assignment of the greatest worth."""
+    worth = [[affinity(x, y)[0] for y in b] for x in a]
+    return _assign_few(worth) if len(b) <= 8 else _assign_many(worth)
 
 
 def _whole(a: list[str], b: list[str]) -> str | None:
-    worth, weak, mine, theirs = assign(a, b)
+    pairs = assign(a, b)
+    mine, theirs = {i for i, _ in pairs}, {j for _, j in pairs}
     over_a, over_b = [t for i, t in enumerate(a) if i not in mine], [t for j, t in enumerate(b) if j not in theirs]
     if any(len(t) > 1 for t in over_a + over_b) or (over_a and over_b):
         return None
     solid = sum(len(a[i]) > 1 for i in mine)
     if (over_a or over_b) and solid < 2:
         return None
-    return "weak" if weak else "strong"
+    found = [affinity(a[i], b[j]) for i, j in pairs]
+    if not any(w >= 0.9 and len(a[i]) > 1 for (w, _), (i, _j) in zip(found, pairs, strict=True)):
+        return None
+    return "weak" if any(initial for _, initial in found) else "strong"
 
 
 def match(a: list[str], b: list[str]) -> str | None:
     """strong: every word matched; weak: by an initial or an acronym; None: different names."""
     if min(len(a), len(b)) < 2 or max(len(a), len(b)) > MAX_TOKENS:
         return None
-    found = _whole(a, b)
+    # Most candidates have a word that nothing in the other name matches; no assignment covers it.
+    may = all(len(x) == 1 or any(affinity(x, y)[0] for y in b) for x in a) and all(len(y) == 1 or any(affinity(x, y)[0] for x in a) for y in b)
+    found = _whole(a, b) if may else None
     if found:
         return found
     for short, long in ((a, b), (b, a)):
@@ -166,56 +205,110 @@ def token_neighbours(vocabulary: DataFrame) -> DataFrame:
     twice = F.when(F.length("token") >= 7, F.flatten(F.transform("d1", _deletes))).otherwise(F.array().cast("array<string>"))
     index = once.select("token", F.explode(F.array_distinct(F.concat(F.array("token"), F.col("d1"), twice))).alias("left"))
     pairs = pairs_within(index, "left", "token", F.col("a_token") < F.col("b_token")).select(F.col("a_token").alias("a"), F.col("b_token").alias("b")).distinct()
-    near = F.levenshtein("a", "b")
-    swap = (near == 2) & (F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", "")))
-    limit = F.when((F.greatest(F.length("a"), F.length("b")) >= 8) & (F.least(F.length("a"), F.length("b")) >= 7), F.lit(2)).otherwise(F.lit(1))
-    pairs = pairs.where((near <= limit) | swap)
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # A swap of neighbours costs two here and one in ``close``, which decides.
+    limit = F.when((F.greatest(F.length("a"), F.length("b")) >= 8) & (F.least(F.length("a"), F.length("b")) >= 7), F.lit(4)).otherwise(F.lit(2))
 
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[close(a, b) for a, b in zip(batch["a"], batch["b"], strict=True)]]
 
-def link_names(names: DataFrame, name: str) -> DataFrame:
-    """Rows (name, actor): each distinct name of the column with the actor it belongs to, named by the actor's smallest form."""
-
-    @F.pandas_udf("array<string>")
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: tokens(x) if isinstance(x, str) else [])
+    pairs = cut(pairs.where(F.levenshtein("a", "b") <= limit).mapInPandas(decide, "a string, b string"))
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    @F.pandas_udf("array<string>")
-    def initials(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: sorted({t[0], *(x[0] for x in GIVEN.get(t, ()))}))
 
-    rows = names.select(F.col(f"`{name}`").alias("name")).where("name is not null").distinct()
-    rows = cut(rows.select("name", split("name").alias("tokens")).withColumn("form", F.array_join("tokens", " ")).where(F.size("tokens") >= 2))
-    forms = rows.select("form", "tokens").dropDuplicates(["form"])
-    flat = forms.select("form", F.explode(F.array_distinct("tokens")).alias("token"))
-    vocabulary = cut(flat.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+def _token_keys(vocabulary: DataFrame) -> DataFrame:
+    """Rows (token, keys) from (token, df): tokens that match whole share a key. Single letters have none."""
     edges = token_neighbours(vocabulary.select("token"))
-    near = edges.join(vocabulary.select(F.col("token").alias("b"), F.col("df").alias("b_df")), "b")
-    top = near.groupBy("a").agg(F.max(F.struct("b_df", "b")).alias("top"))
-    known = vocabulary.join(top, F.col("token") == F.col("a"), "left").select("token", "df", F.coalesce("top.b_df", F.lit(0)).alias("top_df"), F.col("top.b").alias("top"))
-    # A token is common if it, or for a rare one the neighbour it is probably a slip for, is in many forms.
-    known = cut(known.withColumn("common", (F.col("df") > HOT) | ((F.col("top_df") > HOT) & (F.col("df") <= 3))))
-    marked = flat.where(F.length("token") >= 4).join(known, "token")
-    rare = marked.where(~F.col("common"))
-    keys = rare.select("form", F.explode(F.array_distinct(F.array_compact(F.array("token", F.when(F.col("top_df") >= F.col("df"), F.col("top")))))).alias("key"))
-    # Forms that hold a hot token or a neighbour of one meet by that token and an initial of another.
-    hot = vocabulary.where((F.col("df") > HOT) & (F.length("token") >= 4)).select("token")
-    stands_for = hot.select("token", F.col("token").alias("hot")).unionByName(edges.join(hot, F.col("b") == F.col("token")).select(F.col("a").alias("token"), F.col("b").alias("hot")))
-    letters = fence(vocabulary.select("token", initials("token").alias("letters")))
-    own = letters.select("token", F.explode("letters").alias("letter"))
-    letters = own.unionByName(edges.select(F.col("a").alias("token"), F.col("b").alias("n")).join(own.withColumnRenamed("token", "n"), "n").select("token", "letter")).distinct()
-    holds = flat.join(stands_for, "token").select("form", "token", "hot")
-    firsts = flat.join(letters, "token").select(F.col("form").alias("f"), F.col("token").alias("other"), "letter")
-    double = holds.join(firsts, (F.col("form") == F.col("f")) & (F.col("token") != F.col("other"))).select("form", F.concat_ws("\t", "hot", "letter").alias("key"))
-    blocks = keys.unionByName(double).distinct()
-    candidates = pairs_within(blocks, "key", "form", F.col("a_form") < F.col("b_form")).select(F.col("a_form").alias("a"), F.col("b_form").alias("b")).distinct()
+    df = lambda t: vocabulary.select(F.col("token").alias(t), F.col("df").alias(f"df_{t}"))
+    # Of two neighbours the more frequent one is the key of both, so that its list grows by the few forms of its slips.
+    larger = F.struct("df_b", "b") > F.struct("df_a", "a")
+    near = edges.join(df("a"), "a").join(df("b"), "b").where(larger).groupBy("a").agg(F.collect_list("b").alias("near"))
+    bases = F.create_map(*[x for name, forms in sorted(GIVEN.items()) for x in (F.lit(name), F.array(*[F.lit("~" + f) for f in sorted(forms)]))])
+    none = F.array().cast("array<string>")
+    known = vocabulary.where(F.length("token") > 1).join(near, F.col("token") == F.col("a"), "left")
+    return known.select("token", F.concat(F.array("token"), F.coalesce("near", none), F.coalesce(F.try_element_at(bases, F.col("token")), none)).alias("keys"))
+
+
+def _ways(tokens: list[str], keys: list[list[str]], j: int) -> list[str]:
+    """Keys of the ways in which token ``j`` can match: = whole, i and a as the shorter side of an initial or abbreviation, I and A as the longer one, c as an acronym."""
+    t = tokens[j]
+    out = [f"={k}" for k in keys[j] or [t]]
+    if len(t) == 1:
+        return [*out, f"i{t}"]
+    out += [f"I{x}" for x in {t[0], *(x[0] for x in GIVEN.get(t, ()))}]
+    out += [f"A{t[0]}{x}" for x in set(t[1:])]
+    if len(t) <= 6:
+        out.append(f"a{t[:2]}")
+    return [*out, f"c{t}"] if len(t) <= 5 else out
+
+
+def _refined(tokens: list[str], keys: list[list[str]], counts: list[int], at: int) -> tuple[set[str], set[str]]:
+    """Keys under the anchor at ``at``: those of the rarest other token, and those of all others. The first meet the second of another form turned by ``FACING``."""
+    others = [j for j in range(len(tokens)) if j != at]
+    first = "".join(t[0] for t in tokens)
+    runs = [(p, p + n) for n in range(2, 6) for p in range(len(tokens) - n + 1) if not p <= at < p + n]
+    rarest = min(others, key=lambda j: (len(tokens[j]) == 1, counts[j], tokens[j]))
+    mine = {*_ways(tokens, keys, rarest), *(f"C{first[p:q]}" for p, q in runs if p <= rarest < q)}
+    every = {k for j in others for k in _ways(tokens, keys, j)} | {f"C{first[p:q]}" for p, q in runs}
+    return mine, every
+
+
+FACING = str.maketrans("iIaAcC", "IiAaCc")
+
+
+def name_links(forms: DataFrame) -> DataFrame:
+    """Rows (a, b, kind), a < b, of all forms that ``match``, from distinct forms (form, tokens)."""
+    few = forms.where(F.size("tokens") <= MAX_TOKENS)
+    flat = cut(few.select("form", F.posexplode("tokens").alias("at", "token")))
+    vocabulary = cut(flat.groupBy("token").agg(F.count_distinct("form").alias("df")))
+    keyed = cut(flat.join(vocabulary.join(_token_keys(vocabulary), "token", "left"), "token").select("form", "at", "token", "df", F.coalesce("keys", F.array().cast("array<string>")).alias("keys")))
+    held = keyed.select("form", "at", F.explode("keys").alias("key"))
+    hot = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"))
+    before = F.col("a_form") < F.col("b_form")
+    pair = lambda df: df.select(F.least("a_form", "b_form").alias("a"), F.greatest("a_form", "b_form").alias("b"))
+    plain = cut(held.join(hot, "key", "left_anti").select("key", "form").distinct())
+    found = pair(pairs_within(plain, "key", "form", before))
+
+    def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for form, parts, anchors in zip(batch["form"], batch["parts"], batch["anchors"], strict=True):
+                parts = sorted(parts, key=lambda p: p["at"])
+                tokens, keys, counts = [p["token"] for p in parts], [list(p["keys"]) for p in parts], [p["df"] for p in parts]
+                found = set()
+                for x in anchors:
+                    mine, every = _refined(tokens, keys, counts, x["at"])
+                    found |= {(f"{x['key']}\t{k[0].translate(FACING)}{k[1:]}", True) for k in mine} | {(f"{x['key']}\t{k}", False) for k in every}
+                rows += [(k, form, asks) for k, asks in found]
+            yield pd.DataFrame(rows, columns=["key", "form", "asks"])
+
+    # One row for each form that holds a hot key: its tokens are at most MAX_TOKENS.
+    anchors = held.join(hot, "key").groupBy("form").agg(F.collect_list(F.struct("at", "key")).alias("anchors"))
+    parts = keyed.join(anchors.select("form"), "form", "left_semi").groupBy("form").agg(F.collect_list(F.struct("at", "token", "df", "keys")).alias("parts"))
+    refined = cut(parts.join(anchors, "form").mapInPandas(refine, "key string, form string, asks boolean"))
+    found = found.unionByName(pair(pairs_across(refined.where("asks").select("key", "form"), refined.where("not asks").select("key", "form"), "key", "form", F.col("a_form") != F.col("b_form"))))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kind = [match(a.split(" "), b.split(" ")) for a, b in zip(batch["a"], batch["b"], strict=True)]
             yield batch.assign(kind=kind)[lambda x: x["kind"].notna()]
 
-    links = cut(candidates.mapInPandas(verify, "a string, b string, kind string"))
+    return cut(found.distinct().mapInPandas(verify, "a string, b string, kind string"))
+
+
+def link_names(names: DataFrame, name: str) -> DataFrame:
+    """Rows (name, actor): each distinct name of the column with the actor it belongs to, named by the actor's smallest form."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [tokens(x) for x in batch["name"]]
+            out = pd.DataFrame({"name": batch["name"], "form": [" ".join(t) for t in found], "tokens": found})
+            yield out[[len(t) >= 2 for t in found]]
+
+    rows = names.select(F.col(f"`{name}`").cast("string").alias("name")).where("name is not null").distinct()
+    rows = cut(rows.mapInPandas(read, "name string, form string, tokens array<string>"))
+    forms = cut(rows.select("form", "tokens").dropDuplicates(["form"]))
+    links = name_links(forms)
     strong = connected_components(links.where("kind = 'strong'").select("a", "b"))
     actors = cut(forms.select("form").join(strong, F.col("form") == F.col("node"), "left").select("form", F.coalesce("component", "form").alias("actor")))
     # A weak form is the one with initials or an acronym: fewer letters than what it stands for.
@@ -224,7 +317,7 @@ def link_names(names: DataFrame, name: str) -> DataFrame:
     joins = weak.join(at("w", "from"), "w").join(at("x", "to"), "x").where(F.col("from") != F.col("to")).groupBy("from").agg(F.min("to").alias("lowest"), F.max("to").alias("highest"))
     joins = joins.where("lowest = highest").select("from", F.col("lowest").alias("to"))
     merged = actors.join(joins, F.col("actor") == F.col("from"), "left").select("form", F.coalesce("to", "actor").alias("actor"))
-    return rows.select("name", "form").join(merged, "form").select("name", "actor")
+    return cut(rows.select("name", "form").join(merged, "form").select("name", "actor"))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:
