@@ -4,9 +4,10 @@
    of each of its buckets first, which settles most, and what that leaves open with all other longer texts of its buckets, in blocks.
 2. Verified pairs (at least ``CONTAINED`` of the shorter's runs are in the longer) are aligned at the shorter's
    end. Where the longer goes on inside a word or a sentence, the shorter was cut there.
-3. All other texts are scored by how they close. A text that closes with a sentence mark is complete unless its last word
-   is one that, over all texts, hardly ever closes one though it is written often (an abbreviation, a day of the month). A text that closes without one is complete if the shape of its last paragraph
-   (numbers and names replaced) closes many texts and stands after a complete sentence: a reference, a signature,
+3. All other texts are scored by how they close. The terminality of a word with a full stop is how often it closes a text out of how often it is written, over all
+   texts. A text that closes with a sentence mark is complete unless its last word's terminality is far below the usual one though the word is written often
+   (an abbreviation, a day of the month). A text that closes without one is complete if its last paragraph, whole, is of a shape
+   (numbers and names replaced) that closes many texts, and stands after a complete sentence: a reference, a signature,
    a table. Marks such as an ellipsis or "read more" count as put after a cut.
 
 Statistics cover all texts. Defined cases: null and blank texts are not cut; texts of fewer than five words have no
@@ -18,109 +19,26 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.operators.pairs import pairs_within
+from quillstone.llm.hashing import mix, shingle_hashes
+from quillstone.operators.pairs import looked_up, pairs_within
 from quillstone.session import cut, fence
 
 BANDS, ROWS, SHINGLE, CONTAINED = 16, 3, 5, 0.8
 SHARE, LEAST, RARELY, OFTEN, CLOSING = 0.0002, 3, 0.1, 20, 300
-CHUNK = 1 << 20
 # Marks that sources put after a cut, and marks that end a sentence.
 CUT_MARKS = r"(?i)\s*(?:…|\.\.\.|\[\s*(?:\.\.\.|…|truncated|cut)\s*\]|\(\s*(?:more|continued|cont\.?|truncated)\s*\)|(?:read|view|see) more|continue reading|»|>>|→)(?:\s*(?:…|\.\.\.|\[\s*(?:\.\.\.|…)\s*\]|\(\s*more\s*\)|(?:read|view|see) more))*\s*$"
 SENTENCE_END = r"[.!?؟۔。！？][\"'”’»)\]]*$"
 
 
-@lru_cache(1)
-def _letters() -> np.ndarray:
-    table = np.zeros(0x110000, dtype=bool)
-    for c in range(0x110000):
-        if chr(c).isalnum():
-            table[c] = True
-    return table
-
-
-@lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
-    inverse = pow(base, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(CHUNK, base, dtype=np.uint64))
-        down = np.cumprod(np.full(CHUNK, inverse, dtype=np.uint64))
-    return np.concatenate([[np.uint64(1)], up]), np.concatenate([[np.uint64(1)], down])
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of a lower-cased text of less than CHUNK characters."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    inside = np.concatenate([[False], _letters()[codes], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _powers()
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])])
-        return _mix((total[ends] - total[starts]) * down[starts]), starts
-
-
-def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of SHINGLE words, and the text each is of."""
-    hashes, owners = [], []
-    group: list[str] = []
-    size, first = 0, 0
-
-    def flush(upto: int) -> None:
-        nonlocal group, size, first
-        if group:
-            # One pass over many texts; a separator keeps words apart.
-            lengths = np.array([len(t) + 1 for t in group])
-            words, starts = _word_hashes("\n".join(group))
-            hashes.append(words), owners.append(first + np.searchsorted(np.cumsum(lengths), starts, side="right"))
-        group, size, first = [], 0, upto
-
-    for i, text in enumerate(t.lower() for t in texts):
-        if size + len(text) + 1 >= CHUNK:
-            flush(i)
-        if len(text) + 1 >= CHUNK:
-            at = 0
-            while at < len(text):  # parts of a very long text, ending between words
-                end = min(len(text), at + CHUNK - 1)
-                while end < len(text) and end > at + 1 and text[end - 1].isalnum():
-                    end -= 1
-                words, _ = _word_hashes(text[at:end])
-                hashes.append(words), owners.append(np.full(len(words), i))
-                at = end
-            first = i + 1
-            continue
-        group.append(text)
-        size += len(text) + 1
-    flush(len(texts))
-    if not hashes:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    words, owner = np.concatenate(hashes), np.concatenate(owners)
-    n = len(words) - SHINGLE + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    with np.errstate(over="ignore"):
-        run = np.zeros(n, dtype=np.uint64)
-        for k in range(SHINGLE):
-            run = run * np.uint64(0x9E3779B97F4A7C15) + words[k : n + k]
-    whole = owner[:n] == owner[SHINGLE - 1 :]
-    return _mix(run[whole]), owner[:n][whole]
-
-
 def bands(texts: list[str]) -> list[np.ndarray | None]:
     """BANDS keys for each text, none for texts of fewer than SHINGLE words."""
-    runs, owner = shingle_hashes(texts)
+    runs, owner = shingle_hashes(texts, SHINGLE)
     out: list[np.ndarray | None] = [None] * len(texts)
     if not len(runs):
         return out
@@ -130,8 +48,8 @@ def bands(texts: list[str]) -> list[np.ndarray | None]:
         keys = np.zeros((len(first), BANDS), dtype=np.uint64)
         for k, f in enumerate(factors):
             least = np.minimum.reduceat((runs * f) >> np.uint64(16), first)
-            keys[:, k // ROWS] = keys[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + _mix(least)
-        keys = _mix(keys + np.arange(BANDS, dtype=np.uint64))
+            keys[:, k // ROWS] = keys[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + mix(least)
+        keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
     for i, row in zip(owner[first], keys.view(np.int64), strict=True):
         out[i] = row
     return out
@@ -166,9 +84,9 @@ def ends_early(a: str, b: str) -> bool:
 
 
 def _closing(text: Column) -> dict[str, Column]:
-    """Columns that describe how a text closes; all from its last CLOSING characters but the length."""
+    """The text without white space at its end, its last CLOSING characters, which hold any mark, and its length."""
     trimmed = F.regexp_replace(text, r"[\s ]+$", "")
-    return {"tail": F.substr(trimmed, F.greatest(F.length(trimmed) - (CLOSING - 1), F.lit(1))), "n": F.length(trimmed)}
+    return {"trimmed": trimmed, "tail": F.substr(trimmed, F.greatest(F.length(trimmed) - (CLOSING - 1), F.lit(1))), "n": F.length(trimmed)}
 
 
 def paragraph_shape(paragraph: Column) -> Column:
@@ -187,14 +105,14 @@ def closings(documents: DataFrame, text: str, hash_: Column) -> DataFrame:
     rows = documents.where(col.isNotNull()).select(hash_.alias("h"), *[c.alias(k) for k, c in _closing(col).items()])
     rows = fence(rows.where("n > 0"))
     tail = F.col("tail")
-    paragraph = F.regexp_extract(tail, r"(?s)(?:^|(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*)((?:(?!(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)).)*)$", 1)
-    rows = fence(rows.withColumn("paragraph", paragraph))
-    before = F.regexp_replace(F.substr(tail, F.lit(1), F.length(tail) - F.length("paragraph")), r"\s+$", "")
+    # Only texts that close without a sentence mark need their last paragraph, whole; it starts after the last blank line.
+    parted = F.regexp_replace("trimmed", r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*", "\u0001")
+    rows = fence(rows.withColumns({"sentence": tail.rlike(SENTENCE_END), "parted": F.when(~tail.rlike(SENTENCE_END), parted)}))
+    rows = fence(rows.withColumn("paragraph", F.substring_index("parted", "\u0001", -1)))
+    before = F.regexp_replace(F.substr("parted", F.lit(1), F.length("parted") - F.length("paragraph")), r"[\s\u0001]+$", "")
     return rows.select(
-        "h", "n", tail.rlike(CUT_MARKS).alias("mark"), tail.rlike(SENTENCE_END).alias("sentence"),
-        F.when(tail.rlike(r"(?:^|[^\p{L}\p{N}])[\p{L}\p{N}]{1,5}\.$"), F.regexp_extract(tail, r"([\p{L}\p{N}]{1,5}\.)$", 1)).alias("word"),
-        F.when(~tail.rlike(SENTENCE_END) & (F.length("paragraph") < F.length(tail)), paragraph_shape(F.col("paragraph"))).alias("shape"),
-        before.rlike(SENTENCE_END).alias("after"),
+        "h", "n", tail.rlike(CUT_MARKS).alias("mark"), "sentence", F.nullif(F.regexp_extract(tail, r"(?:^|[^\p{L}\p{N}])([\p{L}\p{N}]+\.)$", 1), F.lit("")).alias("word"),
+        F.when(~F.col("sentence") & (F.length("paragraph") < F.length("parted")), paragraph_shape(F.col("paragraph"))).alias("shape"), F.coalesce(before.rlike(SENTENCE_END), F.lit(False)).alias("after"),
     )
 
 
@@ -205,10 +123,10 @@ def truncated(documents: DataFrame, key: str, text: str) -> DataFrame:
     keyed = documents.select(F.col(f"`{key}`").alias("key"), F.when(col.isNotNull(), hash_).alias("h"))
     close = cut(closings(documents, text, hash_).dropDuplicates(["h"]))
     total = close.count()
-    # Short words before a full stop: how often they close a text, out of how often they are written.
-    written = documents.where(col.isNotNull()).select(F.explode(F.regexp_extract_all(col, F.lit(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]{1,5}\.)(?=\s|$)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("all"))
+    # Words before a full stop: how often they close a text, out of how often they are written.
+    written = documents.where(col.isNotNull()).select(F.explode(F.regexp_extract_all(col, F.lit(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+\.)(?=\s|$)"), F.lit(1))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("all"))
     finals = close.where("word is not null").groupBy("word").agg(F.count(F.lit(1)).alias("closed"))
-    rates = written.join(finals, F.col("w") == F.col("word")).select("w", "all", "closed")
+    rates = cut(written.join(finals, F.col("w") == F.col("word")).select("w", "all", "closed"))
     usual = rates.agg(F.sum("closed") / F.sum("all")).first()[0] or 0.0
     never = rates.where((F.col("all") >= OFTEN) & (F.col("closed") / F.col("all") < RARELY * usual)).select("w", F.lit(True).alias("never"))
     shapes = close.where("shape is not null and after and not shape rlike '^[X9 ]+$'").groupBy("shape").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= max(LEAST, SHARE * total)).select(F.col("shape").alias("s"), F.lit(True).alias("usual"))
@@ -218,7 +136,7 @@ def truncated(documents: DataFrame, key: str, text: str) -> DataFrame:
 
     copies = early_copies(documents, text, hash_)
     verdict = verdict.join(copies.select("h", F.lit(True).alias("copy")), "h", "left").select("h", F.when(F.col("copy"), F.lit("copy")).otherwise(F.col("how")).alias("how"))
-    return keyed.join(verdict, "h", "left").select("key", F.col("how").isNotNull().alias("cut"), "how")
+    return looked_up(keyed, "h", "key", verdict.where("how is not null")).select("key", F.col("how").isNotNull().alias("cut"), "how")
 
 
 def early_copies(documents: DataFrame, text: str, hash_: Column) -> DataFrame:
@@ -236,7 +154,7 @@ def early_copies(documents: DataFrame, text: str, hash_: Column) -> DataFrame:
     signed = texts.mapInPandas(sign, "h long, n int, bands array<long>").dropDuplicates(["h"])
     signed = cut(signed.select("h", "n", F.explode("bands").alias("band")))
     longest = signed.groupBy("band").agg(F.max(F.struct("n", "h")).alias("top"), F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("band", F.col("top.n").alias("m"), F.col("top.h").alias("b"))
-    members = cut(signed.join(longest, "band"))
+    members = cut(looked_up(signed, "band", "h", longest).where("b is not null"))
     pairs = cut(members.where("h <> b and n < m").select(F.col("h").alias("a"), "b").distinct())
     wanted = members.select(F.col("h").alias("w")).distinct()
     kept = cut(texts.join(wanted, F.col("h") == F.col("w"), "left_semi").dropDuplicates(["h"]))

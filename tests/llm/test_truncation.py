@@ -4,6 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillstone.llm import hashing as H
 from quillstone.llm import truncation as T
 
 
@@ -45,22 +46,22 @@ def test_near_copy_that_goes_on(spark):
 
 def test_runs_against_plain_python():
     texts = ["", "a b", "One, two three four five six!", "one TWO three four five six", "ß straße x y z w", "x " * 50]
-    runs, owner = T.shingle_hashes(texts)
+    runs, owner = H.shingle_hashes(texts, 5)
     words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
     assert [int((owner == i).sum()) for i in range(len(texts))] == [max(0, len(w) - 4) for w in words]
     assert np.array_equal(runs[owner == 2], runs[owner == 3]) and len(set(runs[owner == 5].tolist())) == 1
 
 
 def test_parts_of_a_very_long_text():
-    chunk, T.CHUNK = T.CHUNK, 256
-    T._powers.cache_clear()
+    chunk, H.CHUNK = H.CHUNK, 256
+    H.powers.cache_clear()
     try:
         text = " ".join(f"w{i}" for i in range(500))
-        long, _ = T.shingle_hashes([text])
+        long, _ = H.shingle_hashes([text], 5)
     finally:
-        T.CHUNK = chunk
-        T._powers.cache_clear()
-    whole, _ = T.shingle_hashes([text])
+        H.CHUNK = chunk
+        H.powers.cache_clear()
+    whole, _ = H.shingle_hashes([text], 5)
     assert np.array_equal(long, whole)
 
 
