@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import exprs as X
 from quillstone.functions import fixed
-from quillstone.operators.extraction import _ask
+from quillstone.operators.extraction import ask
 from quillstone.providers import LanguageModel
 
 MAX_ENTITIES, MAX_QUERIES, MAX_GOALS, GOAL_QUERIES = 10, 3, 5, 6
@@ -37,7 +37,7 @@ def _texts(value: object, limit: int) -> list[str]:
 
 def parse_question(question: str, model: LanguageModel) -> dict:
     """Entities, geography and topics of a research question; the whole text is the entity if the model fails."""
-    found = _ask(model, "question", question)
+    found = ask(model, "question", question)
     if not found:
         return {"entities": [question], "geography": "", "topics": []}
     return {"entities": _texts(found.get("entities"), MAX_ENTITIES) or [question], "geography": str(found.get("geography") or ""), "topics": _texts(found.get("topics"), MAX_ENTITIES)}
@@ -45,7 +45,7 @@ def parse_question(question: str, model: LanguageModel) -> dict:
 
 def reason(window: str, anchors: list[str], model: LanguageModel) -> dict:
     """New entities and queries from a window of documents, guarded and capped; an empty row if the model fails."""
-    found = _ask(model, "reason", window)
+    found = ask(model, "reason", window)
     ok = found is not None
     found = found or {}
     return {"novel_entities": [e for e in _texts(found.get("novel_entities"), MAX_ENTITIES) if plausible(e)], "queries": [q for q in _texts(found.get("queries"), MAX_QUERIES) if on_topic(q, anchors)], "reasoning": str(found.get("reasoning") or ""), "parse_ok": ok}
@@ -53,14 +53,14 @@ def reason(window: str, anchors: list[str], model: LanguageModel) -> dict:
 
 def set_goals(state: str, anchors: list[str], old: list[dict], model: LanguageModel) -> list[dict]:
     """Goals with guarded queries; the old goals stay if the model fails."""
-    found = _ask(model, "goals", state)
+    found = ask(model, "goals", state)
     if not found or not isinstance(found.get("goals"), list):
         return old
     return [{"goal": str(g.get("goal") or ""), "queries": [q for q in _texts(g.get("queries"), GOAL_QUERIES) if on_topic(q, anchors)]} for g in found["goals"][:MAX_GOALS] if isinstance(g, dict)]
 
 
 def seed_queries(state: str, anchors: list[str], model: LanguageModel, n: int = 8) -> list[str]:
-    found = _ask(model, "seeds", state) or {}
+    found = ask(model, "seeds", state) or {}
     return [q for q in _texts(found.get("queries"), n) if on_topic(q, anchors)]
 
 
@@ -78,7 +78,7 @@ def judged(chunks: DataFrame, model: Callable[[], LanguageModel]) -> DataFrame:
         for batch in batches:
             rows = []
             for key, prompt in zip(batch["chunk_id"], batch["prompt"], strict=True):
-                found = _ask(client, "judge", prompt or "")
+                found = ask(client, "judge", prompt or "")
                 try:
                     scores = [float(found[k]) for k in ("ner", "relation", "event", "overall")]  # type: ignore[index]
                 except (KeyError, TypeError, ValueError):
@@ -104,7 +104,7 @@ def act(question: str, tools: dict[str, Callable[[str], str]], model: LanguageMo
     seen: list[str] = []
     answer = ""
     for _ in range(max_iterations):
-        found = _ask(model, "act", question + "\n\n" + "\n\n".join(seen)) or {}
+        found = ask(model, "act", question + "\n\n" + "\n\n".join(seen)) or {}
         if found.get("tool") not in tools:
             answer = str(found.get("answer") or "")
             break
@@ -115,3 +115,44 @@ def act(question: str, tools: dict[str, Callable[[str], str]], model: LanguageMo
     lines = "\n".join(seen).splitlines()
     first = lambda values: list(dict.fromkeys(v for v in values if v))
     return {"answer": answer, "steps": len(seen), "sources": first(x.split("Source:", 1)[1].split("(")[0].strip() for x in lines if "Source:" in x), "entities": first(re.split(r"\]", x)[-1].strip() for x in lines if re.search(r"\[(PERSON|ORG|GROUP)\]", x))}
+
+
+def answer(question: str, passages: list[dict], model: LanguageModel) -> dict:
+    """Answer a question from numbered passages (source_filename, geography, date_published, text), with the share of them it cites.
+
+    Without passages, or if the model fails, the answer is empty and the confidence 0.
+    """
+    head = lambda p: " | ".join(str(p[c]) for c in ("source_filename", "geography", "date_published") if p.get(c))
+    context = "\n\n---\n\n".join(f"[Source {i}] ({head(p)})\n{p['text']}" for i, p in enumerate(passages, 1))
+    try:
+        text = model.complete("answer", f"{question}\x1e{context}") if passages else ""
+    except Exception:  # noqa: BLE001  a failed model is no answer
+        text = ""
+    cited = [i for i in range(1, len(passages) + 1) if f"[Source {i}]" in text]
+    return {"answer": text, "cited": cited, "sources": [p.get("source_filename") for p in passages], "confidence": round(len(cited) / len(passages), 3) if passages else 0.0}
+
+
+def narrate(state: dict, model: LanguageModel) -> str:
+    """A short briefing of a session: state has query, geography, ingested, skipped, top_entities, queries, novel; empty if the model fails."""
+    if state.get("ingested"):
+        top = ", ".join(f"{e} ({n})" for e, n in state.get("top_entities", [])[:8]) or "none yet"
+        lines = [f"Query: {state['query']}", f"Place: {state.get('geography') or 'any'}", f"Read: {state['ingested']}, passed over: {state.get('skipped', 0)}", f"Seen most: {top}", "New: " + (", ".join(state.get("novel", [])[:6]) or "none"), "Next: " + ("; ".join(state.get("queries", [])[:3]) or "none yet")]
+    else:
+        lines = [f"Query: {state['query']}", f"Place: {state.get('geography') or 'any'}", "Nothing has been read yet: say what will be looked for."]
+    try:
+        return model.complete("narrate", "\n".join(lines)).strip()
+    except Exception:  # noqa: BLE001  a briefing is no reason to stop a session
+        return ""
+
+
+def run_session(documents: DataFrame, anchors: list[str], executed: DataFrame, model: LanguageModel, every: int = 3, max_reasonings: int = 8, max_queries: int = 5) -> dict:
+    """One agent session over ingested documents (ord, title, excerpt): reason over each window of ``every``, at most ``max_reasonings`` times, and choose the queries to run.
+
+    The session's size bounds what is read here.
+    """
+    spark = documents.sparkSession
+    rows = documents.orderBy("ord").limit(every * max_reasonings).collect()
+    steps = [reason("\n\n".join(f"{r['title']}\n{r['excerpt']}" for r in rows[i : i + every]), anchors, model) for i in range(0, len(rows) - every + 1, every)]
+    proposed = [(q, anchors, i) for i, step in enumerate(steps) for q in step["queries"]]
+    chosen = queries_to_run(spark.createDataFrame(proposed, "query string, anchors array<string>, ord int"), executed, max_queries)
+    return {"reasonings": steps, "novel_entities": list(dict.fromkeys(e for s in steps for e in s["novel_entities"])), "queries": [r["query"] for r in chosen.collect()]}

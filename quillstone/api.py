@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone import agents
 from quillstone.functions import exprs as X
 from quillstone.operators import chunking, evidence, extraction, graph, metrics, silence, store
 from quillstone.operators import vectors as V
-from quillstone.providers import Embedder, HashEmbedder
+from quillstone.providers import Embedder, ExtractiveModel, HashEmbedder, LanguageModel
+from quillstone.session import cut
 from quillstone.sources import connectors, files, sinks
 
 
@@ -56,15 +59,11 @@ class Engine:
         ordered = lambda df: df.withColumn("ord", F.xxhash64(*df.columns))
         return {name: self.save(name, ordered(f(chunks, "chunk_id", "text")), ["ord"]) for name, f in (("mentions", extraction.entities), ("triples", extraction.relations), ("events", extraction.events))}
 
-    def resolve(self, threshold: float = 72.0) -> DataFrame:
-        from quillstone.operators.components import connected_components
-
+    def resolve(self, threshold: float = 72.0, cosine: float = 0.88) -> DataFrame:
+        """Entities of one label joined where their names are near in meaning or in spelling."""
         exact = self.table("mentions").groupBy("label", F.lower(F.trim("text")).alias("key")).agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("canonical_text"), F.collect_set("text").alias("names"), F.count(F.lit(1)).alias("occurrences"), X.mean(F.col("confidence")).alias("mean_confidence"))
-        registry = exact.select(X.canonical_id(F.col("label"), F.col("canonical_text")).alias("canonical_id"), "canonical_text", "label", F.array_remove("names", F.col("canonical_text")).alias("aliases"), "occurrences", "mean_confidence")
-        groups = connected_components(silence.fuzzy_pairs(registry, threshold), "a", "b")
-        rows = registry.join(groups, F.col("canonical_id") == F.col("node"), "left").withColumn("entity", F.coalesce("component", "canonical_id"))
-        top = F.struct("occurrences", "canonical_id")
-        merged = rows.groupBy("entity").agg(F.max_by("canonical_text", top).alias("canonical_text"), F.max_by("label", top).alias("label"), F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("canonical_text"), "aliases")))).alias("names"), F.sum("occurrences").alias("occurrences"), F.round(F.sum(F.col("mean_confidence") * F.col("occurrences")) / F.sum("occurrences"), 4).alias("mean_confidence"))
+        registry = cut(exact.select(X.canonical_id(F.col("label"), F.col("canonical_text")).alias("canonical_id"), "canonical_text", "label", F.array_remove("names", F.col("canonical_text")).alias("aliases"), "occurrences", "mean_confidence"))
+        merged = silence.resolved_entities(registry, silence.entity_links(registry, self.embedder, cosine, threshold))
         merged = merged.select(X.canonical_id(F.col("label"), F.col("canonical_text")).alias("canonical_id"), "canonical_text", "label", F.array_sort(F.array_remove("names", F.col("canonical_text"))).alias("aliases"), "occurrences", "mean_confidence")
         self.save("registry", merged, ["canonical_id"])
         return self.table("registry")
@@ -94,9 +93,12 @@ class Engine:
         rows = chunks.join(chosen.select(F.col("key").alias("chunk_id"), F.col("pick").alias("ord")), "chunk_id").withColumn("one", F.lit(1))
         return silence.rerank(rows, sorted(set(re.findall(r"\w+", question.lower()))), "text", "one", top_n).select("chunk_id", "source_filename", "geography", "date_published", "text", "score", "rank")
 
-    def ask(self, question: str, top_k: int = 8, top_n: int = 3, at: str | None = None) -> dict[str, object]:
-        """Passages, and the graph's facts beside them; the answer itself is the language model's."""
-        return {"passages": self.search(question, top_k, top_n), "graph": self.graph_query(question, 2, at)}
+    def ask(self, question: str, model: LanguageModel | None = None, top_k: int = 8, top_n: int = 3, at: str | None = None) -> dict[str, object]:
+        """Answer with its sources, the share of them it cites, the passages, and the graph's facts beside them."""
+        passages = self.search(question, top_k, top_n)
+        rows = passages.orderBy("rank").collect()  # at most top_n
+        found = agents.answer(question, [r.asDict() for r in rows], model or ExtractiveModel())
+        return found | {"passages": passages, "graph": self.graph_query(question, 2, at)}
 
     # analyse
     def contradictions(self, threshold: float = 0.65, max_pairs: int = 100) -> DataFrame:
@@ -127,8 +129,32 @@ class Engine:
         tables = {n: self.table(n) for n in ("mentions", "triples", "events", "registry") if sinks.current(self.spark, self._path(n)) >= 0}
         if {"events", "mentions"} <= tables.keys() and "location" in tables["events"].columns:
             tables["geojson"] = sinks.geojson(tables["events"], tables["mentions"])
+        if "events" in tables and "location" in tables["events"].columns:
+            tables["silences"] = silence.export_rows(silence.gaps(silence.density(self.table("chunks")), silence.grid(tables["events"])))
         return sinks.export_all(tables | {"corpus_stats": self.corpus_stats()}, folder)
 
+    # fetch
+    def fetch(self, found: DataFrame, head: Callable[[str], str | None], page: Callable[[str], str | None], body: Callable[[str], bytes], corpus: str, register_csv: str, geography: str = "", min_relevance: float = 0.5, max_docs: int = 100, licence: str | None = None) -> DataFrame:
+        """Fetch what was found: choose, route by content type, read pages and files, chunk, store, register; one row of totals.
+
+        Report files are written to ``corpus`` and read from there; pages become text at once.
+        """
+        known = files.known_urls(files.register(self.spark, register_csv))
+        above = found.where(F.col("relevance_score") >= min_relevance).join(known, "url", "left_anti")
+        pick = cut(connectors.content_types(above.orderBy(F.desc("relevance_score"), "url").limit(max_docs), head).withColumn("filename", X.safe_filename(F.col("url"), F.col("title"), F.col("source"))).withColumn("route", X.route(F.col("url"), F.col("content_type"))))
+        pages = connectors.fetched(pick.where("route = 'page'").select("url"), page).where("payload is not null").select("url", X.page_text(F.col("payload")).alias("text"))
+        saved = connectors.downloaded(pick.where("route = 'download'"), body, corpus).where("path is not null").select("url", "path")
+        read = files.load_files(saved).select("url", "text")
+        texts = cut(pick.join(pages.unionByName(read), "url").where("text <> ''"))
+        pieces = chunking.recursive(texts.select("url", "text"), "url", "text").join(texts.drop("text"), "url")
+        chunks = pieces.select(X.chunk_id(F.col("filename"), F.col("pos")).alias("chunk_id"), F.col("filename").alias("source_filename"), F.col("url").alias("source_url"), F.lit("report").alias("doc_type"), F.lit("en").alias("language"), F.col("date").alias("date_published"), F.lit(geography).alias("geography"), F.col("pos").alias("chunk_index"), F.col("chunk").alias("text"))
+        if not texts.isEmpty():
+            self.save("chunks", self._embedded(chunks), ["chunk_id"])
+            rows = texts.select("filename", F.col("url").alias("source_url"), F.current_date().cast("string").alias("date_accessed"), (F.lit(licence) if licence else X.licence(F.col("source"))).alias("licence"), F.lit(geography).alias("geography"), F.concat(F.lit("auto-fetched from "), "source", F.lit(" | "), F.substr("title", F.lit(1), F.lit(80))).alias("notes"))
+            sinks.append_register(rows, register_csv)
+        counts = pick.select("url").join(pieces.groupBy("url").agg(F.count(F.lit(1)).alias("chunks")), "url", "left").select(F.coalesce("chunks", F.lit(0)).alias("chunks"))
+        return connectors.fetch_totals(found, above, counts)
+
     def wipe(self, *names: str) -> None:
         for name in names or ("",):
             sinks.delete(self.spark, self._path(name) if name else self.home)

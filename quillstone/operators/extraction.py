@@ -18,7 +18,7 @@ EVENT_TYPES = ("killing", "arbitrary_detention", "forced_labour", "sexual_violen
 SURE, RETRIES = 0.6, 2
 
 
-def _ask(model: LanguageModel, task: str, text: str) -> dict | None:
+def ask(model: LanguageModel, task: str, text: str) -> dict | None:
     for _ in range(RETRIES + 1):
         try:
             found = salvage(model.complete(task, text))
@@ -69,7 +69,7 @@ def entities(df: DataFrame, key: str, text: str, model: Callable[[], LanguageMod
     """Flat mentions; chunks whose answer fails give none."""
 
     def row(client: LanguageModel, k: object, t: str) -> list[tuple]:
-        return [(k, e["text"], e["label"], e["confidence"], e["span_start"], e["span_end"]) for e in coerce_entities(_ask(client, "entities", t)) or []]
+        return [(k, e["text"], e["label"], e["confidence"], e["span_start"], e["span_end"]) for e in coerce_entities(ask(client, "entities", t)) or []]
 
     return _mapped(df, key, text, "source_chunk_id string, text string, label string, confidence double, span_start int, span_end int", row, ["source_chunk_id", "text", "label", "confidence", "span_start", "span_end"], model)
 
@@ -78,7 +78,7 @@ def relations(df: DataFrame, key: str, text: str, model: Callable[[], LanguageMo
     columns = ["source_chunk_id", "subject", "predicate", "object", "location", "date", "confidence", "evidence"]
 
     def row(client: LanguageModel, k: object, t: str) -> list[tuple]:
-        return [(k, *(r[c] for c in columns[1:])) for r in coerce_relations(_ask(client, "relations", t)) or []]
+        return [(k, *(r[c] for c in columns[1:])) for r in coerce_relations(ask(client, "relations", t)) or []]
 
     return _mapped(df, key, text, "source_chunk_id string, subject string, predicate string, object string, location string, date string, confidence double, evidence string", row, columns, model)
 
@@ -87,9 +87,9 @@ def events(df: DataFrame, key: str, text: str, model: Callable[[], LanguageModel
     """One event for each chunk: asked plainly, and again with examples below ``SURE``; the first answer stands if the second fails."""
 
     def row(client: LanguageModel, k: object, t: str) -> list[tuple]:
-        first, strategy = _ask(client, "event", t), "zero_shot"
+        first, strategy = ask(client, "event", t), "zero_shot"
         if first is not None and float(first.get("confidence") or 0) < SURE:
-            again = _ask(client, "event_examples", t)
+            again = ask(client, "event_examples", t)
             if again is not None:
                 first, strategy = again, "few_shot"
         kind = (first or {}).get("event_type") or "no_event"
@@ -104,7 +104,7 @@ def prescreen(df: DataFrame, key: str, text: str, model: Callable[[], LanguageMo
     def row(client: LanguageModel, k: object, t: str) -> list[tuple]:
         if not t.strip():
             return [(k, False, "empty")]
-        found = _ask(client, "prescreen", t)
+        found = ask(client, "prescreen", t)
         return [(k, True, "error")] if found is None else [(k, bool(found.get("keep")), "model")]
 
     return _mapped(df, key, text, f"key {df.schema[key].dataType.simpleString()}, keep boolean, reason string", row, ["key", "keep", "reason"], model)
@@ -116,7 +116,7 @@ def verified(claims: DataFrame, threshold: float = 0.65, model: Callable[[], Lan
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = model()
         for batch in batches:
-            found = [_ask(client, "contradiction", f"{a[:800]}\x1e{b[:800]}") or {} for a, b in zip(batch["claim_a"], batch["claim_b"], strict=True)]
+            found = [ask(client, "contradiction", f"{a[:800]}\x1e{b[:800]}") or {} for a, b in zip(batch["claim_a"], batch["claim_b"], strict=True)]
             kinds = [x.get("type") if x.get("type") in ("factual", "temporal", "numerical", "attribution") else "factual" for x in found]
             out = batch[["kind", "a", "b"]].assign(type=kinds, confidence=[float(x.get("confidence") or 0) for x in found], flag=[bool(x.get("is_contradiction")) for x in found])
             yield out[out["flag"] & (out["confidence"] >= threshold)].drop(columns="flag")

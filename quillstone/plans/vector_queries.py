@@ -12,7 +12,8 @@ from quillstone.operators import vectors as V
 from quillstone.operators.components import connected_components
 from quillstone.plans.base import Plans
 from quillstone.plans.scalars import QUARTER
-from quillstone.session import table
+from quillstone.providers import HashEmbedder
+from quillstone.session import cut, table
 
 plans = Plans()
 query = plans.query
@@ -109,14 +110,19 @@ def silence_expectation_gap(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Spellings of one first letter and label whose match ratio is at least 72."""
+    """Spellings of one label whose match ratio is at least 72."""
     return silence.fuzzy_pairs(A.registry(spark, d), 72.0)
 
 
 @query()
 def resolve_entities_full(spark: SparkSession, d: str) -> DataFrame:
-    """Registry entities joined by fuzzy links: component, members and mentions."""
-    registry = A.registry(spark, d)
-    groups = connected_components(silence.fuzzy_pairs(registry, 72.0), "a", "b")
-    rows = registry.join(groups, F.col("canonical_id") == F.col("node"), "left").withColumn("entity", F.coalesce("component", "canonical_id"))
-    return rows.groupBy("entity").agg(F.max_by("canonical_text", F.struct("occurrences", "canonical_id")).alias("canonical_text"), F.count(F.lit(1)).alias("spellings"), F.sum("occurrences").alias("occurrences"))
+    """Registry entities joined by cosine of at least 0.88 or match ratio of at least 72: members and mentions."""
+    registry = cut(A.registry(spark, d))
+    rows = silence.resolved_entities(registry, silence.entity_links(registry, HashEmbedder()))
+    return rows.select("entity", "canonical_text", "spellings", "occurrences")
+
+
+@query(f"SELECT a, b, cosine FROM {_NEAR} WHERE cosine >= 0.88")
+def cosine_links(spark: SparkSession, d: str) -> DataFrame:
+    """The same links as all pairs of a label would give at 0.88, by random projections."""
+    return V.cosine_links(_embeddings(spark, d), "vec_id", "label", "embedding", 0.88)

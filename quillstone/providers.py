@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import urllib.request
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -52,6 +54,66 @@ class RuleModel:
         return json.dumps({"is_contradiction": bool(na and nb and na != nb), "type": "numerical", "confidence": 0.7 if na and nb and na != nb else 0.2})
 
 
+class ExtractiveModel(RuleModel):
+    """Answers with the sentence of each source that shares most words with the question, cited; briefings repeat their facts."""
+
+    def complete(self, task: str, text: str) -> str:
+        if task == "narrate":
+            return " ".join(text.splitlines())
+        if task != "answer":
+            return super().complete(task, text)
+        question, _, context = text.partition("\x1e")
+        asked, out = set(re.findall(r"\w{3,}", question.lower())), []
+        for block in context.split("\n\n---\n\n"):
+            mark, _, body = block.partition("\n")
+            sentences = re.split(r"(?<=[.!?])\s+", body.strip())
+            best = max(sentences, key=lambda s: len(asked & set(re.findall(r"\w{3,}", s.lower()))))
+            if asked & set(re.findall(r"\w{3,}", best.lower())):
+                out.append(f"{best} {mark[: mark.find(']') + 1]}")
+        return " ".join(out)
+
+
+class ChatModel:
+    """Any server that speaks the public chat-completions interface over HTTP."""
+
+    def __init__(self, url: str, model: str, key: str | None = None, prompts: dict[str, str] | None = None, timeout: float = 60.0) -> None:
+        self.url, self.model, self.key, self.prompts, self.timeout = url.rstrip("/"), model, key, prompts or {}, timeout
+
+    def complete(self, task: str, text: str) -> str:
+        body = {"model": self.model, "temperature": 0, "messages": [{"role": "system", "content": self.prompts.get(task, task)}, {"role": "user", "content": text}]}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        request = urllib.request.Request(f"{self.url}/chat/completions", json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.load(answer)["choices"][0]["message"]["content"]
+
+
+@lru_cache(maxsize=8)
+def language_model(provider: str, url: str = "", model: str = "", key: str | None = None) -> LanguageModel:
+    """The model of a provider, one for each process: "rules", "extractive", or "chat" with the address of a server."""
+    if provider == "rules":
+        return RuleModel()
+    if provider == "extractive":
+        return ExtractiveModel()
+    if provider == "chat" and url and model:
+        return ChatModel(url, model, key)
+    raise ValueError(f"unknown provider, or one without an address: {provider!r}")
+
+
+class Reranker(Protocol):
+    def score(self, query: str, texts: list[str]) -> list[float]: ...
+
+
+def reranked(query: str, rows: list[dict], scorer: Reranker | None, top_n: int) -> list[dict]:
+    """The ``top_n`` rows (text, …) the scorer likes best, ties in order; in the order given if there is no scorer or it fails."""
+    try:
+        scores = scorer.score(query, [r["text"] for r in rows]) if scorer and rows else None
+    except Exception:  # noqa: BLE001  a missing scorer must not stop retrieval
+        scores = None
+    if scores is None:
+        return rows[:top_n]
+    return [r for _, _, r in sorted(zip([-s for s in scores], range(len(rows)), rows, strict=True), key=lambda x: x[:2])][:top_n]
+
+
 class HashEmbedder:
     """Signed feature hashing of words, unit length."""
 

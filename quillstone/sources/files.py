@@ -75,7 +75,7 @@ def parse(suffix: str, content: bytes) -> str:
     return content.decode("utf-8", "replace")
 
 
-def load_corpus(spark: SparkSession, folder: str, doc_type: str = "report", language: str = "en", geography: str | None = None) -> DataFrame:
+def load_corpus(spark: SparkSession, folder: str, doc_type: str = "report", language: str = "en", geography: str | None = None, source_url: str | None = None, date_published: str | None = None) -> DataFrame:
     """All readable files below a folder with base metadata; a file that can't be parsed has null text and an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
@@ -93,7 +93,24 @@ def load_corpus(spark: SparkSession, folder: str, doc_type: str = "report", lang
             yield batch[["path", "source_filename", "suffix"]].assign(text=texts, error=errors)
 
     parsed = rows.mapInPandas(run, "path string, source_filename string, suffix string, text string, error string")
-    return parsed.withColumns({"doc_type": F.lit(doc_type), "language": F.lit(language), "geography": F.lit(geography).cast("string"), "source_url": F.lit(None).cast("string"), "date_published": F.lit(None).cast("string")})
+    return parsed.withColumns({"doc_type": F.lit(doc_type), "language": F.lit(language), "geography": F.lit(geography).cast("string"), "source_url": F.lit(source_url).cast("string"), "date_published": F.lit(date_published).cast("string")})
+
+
+def load_files(rows: DataFrame) -> DataFrame:
+    """Rows (url, text) of files (url, path) in a folder that all executors see; a file that can't be parsed has null text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for path in batch["path"]:
+                try:
+                    with open(path, "rb") as f:
+                        texts.append(parse(path.rsplit(".", 1)[-1].lower(), f.read()))
+                except Exception:  # noqa: BLE001  one bad file must not end the load
+                    texts.append(None)
+            yield batch[["url"]].assign(text=texts)
+
+    return rows.select("url", "path").mapInPandas(run, "url string, text string")
 
 
 def register(spark: SparkSession, path: str) -> DataFrame:

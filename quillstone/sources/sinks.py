@@ -61,3 +61,8 @@ def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Node-link JSON, one object a line."""
     node = nodes.select(F.to_json(F.struct(F.lit("node").alias("kind"), *nodes.columns)).alias("value"))
     return node.unionByName(edges.select(F.to_json(F.struct(F.lit("link").alias("kind"), *edges.columns)).alias("value")))
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add rows to a JSONL log; earlier files of it are not touched."""
+    rows.write.mode("append").json(path)

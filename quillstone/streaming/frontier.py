@@ -1,7 +1,7 @@
 """Discovery frontier: a pure batch step, and the stream that applies it batch by batch.
 
-State is two tables in one folder, frontier and visited, versioned by batch: a batch reads version n and writes n + 1, so a batch that is run again gives
-the same version and nothing twice.
+State is two tables in one folder. The frontier, of bounded size, is versioned: a batch reads version n and writes n + 1. Visits are only added, a part for each batch, so a
+session's cost does not grow with what was visited before but for one anti-join. A batch that is run again gives the same version and the same part, and nothing twice.
 """
 
 from __future__ import annotations
@@ -43,15 +43,16 @@ def pruned(frontier: DataFrame, anchors: list[str], keep: int) -> DataFrame:
 def run_stream(spark: SparkSession, items: DataFrame, state: str, checkpoint: str, batch: int, min_relevance: float = 0.35) -> StreamingQuery:
     """Each micro-batch is one session: enqueue what arrived, take the best, mark them visited."""
 
-    def load(name: str, version: int, schema: str) -> DataFrame:
-        return spark.createDataFrame([], schema) if version < 0 else spark.read.schema(schema).parquet(f"{state}/{name}/{version}")
+    def load(path: str, first: bool, schema: str) -> DataFrame:
+        return spark.createDataFrame([], schema) if first else spark.read.schema(schema).parquet(path)
 
     def session(rows: DataFrame, n: int) -> None:
-        frontier, visited = load("frontier", n - 1, ITEM), load("visited", n - 1, "url string, session long")
+        frontier = load(f"{state}/frontier/{n - 1}", n == 0, ITEM)
+        visited = load(f"{state}/visited", n == 0, "url string, session int").where(F.col("session") < n)
         queued = enqueue(frontier, visited, gated(rows, min_relevance)).persist()
         taken, rest = step(queued, visited, batch)
         rest.write.mode("overwrite").parquet(f"{state}/frontier/{n}")
-        visited.unionByName(taken.select("url", F.lit(n).cast("long").alias("session"))).write.mode("overwrite").parquet(f"{state}/visited/{n}")
+        taken.select("url").write.mode("overwrite").parquet(f"{state}/visited/session={n}")
         queued.unpersist()
 
     return items.writeStream.foreachBatch(session).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

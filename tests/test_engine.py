@@ -33,6 +33,27 @@ def test_search_and_graph(engine):
     assert e.context("market").count() == 1
 
 
+def test_answer_cites_its_sources(engine):
+    e, _ = engine
+    got = e.ask("Who inspected the market in Mila?")
+    assert "market in Mila" in got["answer"] and got["cited"] and 0 < got["confidence"] <= 1 and got["sources"]
+    assert got["graph"].count() >= 1
+
+
+def test_fetch_run(engine, spark):
+    e, home = engine
+    rows = [(f"https://h{i}.example/{'r.txt.pdf' if i == 1 else 'p'}{i}", f"Title {i}", "arxiv", "2020-01-0" + str(i), 0.9 if i < 4 else 0.1) for i in range(1, 6)]
+    found = spark.createDataFrame(rows, "url string, title string, source string, date string, relevance_score double")
+    head = lambda url: "text/html" if "/p" in url else "application/pdf"
+    page = lambda url: None if "h3" in url else f"<html><script>x</script><p>Page &amp; text of {url}</p></html>"
+    register = str(home / "register")
+    got = e.fetch(found, head, page, lambda url: b"not a pdf", str(home / "files"), register, "Tovar").first()
+    assert tuple(got) == (5, 3, 3, 1, 2)  # the page of h2; h1 is no readable file, h3 gave nothing
+    assert e.table("chunks").where("source_url like '%h2%' and text like 'Page & text%'").count() == 1
+    again = e.fetch(found, head, page, lambda url: b"", str(home / "files"), register).first()
+    assert again["above_threshold"] == 2
+
+
 def test_export_and_cli(engine, spark):
     e, home = engine
     assert set(e.export(str(home / "out"))) >= {"mentions", "triples", "corpus_stats"}
@@ -51,7 +72,7 @@ def test_frontier_stream_equals_batch(spark, tmp_path):
     state = str(tmp_path / "state")
     q = frontier.run_stream(spark, stream, state, str(tmp_path / "ck"), batch=4)
     q.awaitTermination(120)
-    visited = spark.read.parquet(f"{state}/visited/1")
+    visited = spark.read.parquet(f"{state}/visited")
     left = spark.read.parquet(f"{state}/frontier/1")
     assert visited.count() == 8 == visited.select("url").distinct().count()
     assert left.count() == 17 - 8 and left.join(visited, "url").count() == 0
