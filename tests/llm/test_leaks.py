@@ -91,3 +91,21 @@ def test_paraphrases(spark):
     got = {r["doc"]: r for r in rows if r["item"] == 4}
     assert set(got) == {700, 701} and not any(r["run"] for r in rows)
     assert all(r["subsequence"] >= leaks.ORDERED and r["answer"] > 0.6 for r in got.values())
+
+
+def test_planted_paraphrases_are_found(spark):
+    """Every seventh word of an answer replaced by a foreign one, some words left out and some swapped: no run of twelve is left."""
+    items, docs = _corpus()
+    random.seed(12)
+    planted = []
+    for i, _q, answer in items:
+        words = answer.replace(".", "").split()
+        words = [("zzz" + w if k % 7 == 3 else w) for k, w in enumerate(words) if random.random() > 0.05]
+        for k in range(5, len(words) - 1, 11):
+            words[k], words[k + 1] = words[k + 1], words[k]
+        planted.append((1000 + i, "Some other words come first here, as they do. " + " ".join(words) + ". And then the page goes on with other things."))
+    d = spark.createDataFrame([*docs, *planted], "doc_id long, text string")
+    e = spark.createDataFrame(items, "item_id long, q string, a string")
+    got = {(r["doc"], r["item"]) for r in leaks.find_leaks(d, "doc_id", "text", e, "item_id", ("q", "a")).where("not run").collect()}
+    found = sum((1000 + i, i) in got for i, _, _ in items)
+    assert found >= 0.9 * len(items), found
