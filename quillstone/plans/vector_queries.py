@@ -120,9 +120,3 @@ def resolve_entities_full(spark: SparkSession, d: str) -> DataFrame:
     registry = cut(A.registry(spark, d))
     rows = silence.resolved_entities(registry, silence.entity_links(registry, HashEmbedder()))
     return rows.select("entity", "canonical_text", "spellings", "occurrences")
-
-
-@query(f"SELECT a, b, cosine FROM {_NEAR} WHERE cosine >= 0.88")
-def cosine_links(spark: SparkSession, d: str) -> DataFrame:
-    """The same links as all pairs of a label would give at 0.88, by random projections."""
-    return V.cosine_links(_embeddings(spark, d), "vec_id", "label", "embedding", 0.88)

@@ -21,12 +21,13 @@ class Embedder(Protocol):
 
 
 class RuleModel:
-    """Answers by rules, in the JSON a model would give, so that the parse path is used in earnest."""
+    """A stand-in for tests and dry runs: answers by rules, in the JSON a model would give, so that the parse path is used in earnest."""
 
     # Words are separated by exactly one blank, so a name can be read in one way only and a failed match ends at once.
     NAME = re.compile(r"\b[A-Z][\w'’-]+(?: (?:(?:of|the) )?[A-Z][\w'’-]*)+")
     KINDS = ("Guard", "Front", "Army", "Association", "Council", "Committee", "Institute", "Cooperative", "Movement", "Service", "Directorate", "Battalion", "Brigade", "Federation", "Commission", "Assembly", "Government", "Company")
     DEED = r"(\w+ed|held|told|hid|sold) (?:an? |the |\d+ )(\w+(?: \w+){0,3}?)(?= (?:at|in|near|of|on|under|that|and|before|after|with|during|despite|for)\b|[.,;])"
+    KEPT = ("prison", "witness", "detain", "siege", "army")
     TYPES = (("killing", r"execut|kill|shell"), ("arbitrary_detention", r"detain|prison"), ("displacement", r"displac|left "), ("siege", r"siege|besieg"), ("forced_labour", r"labour"))
 
     def complete(self, task: str, text: str) -> str:
@@ -46,7 +47,7 @@ class RuleModel:
         return json.dumps({"event_type": kind if n else "no_event", "confidence": round(min(0.95, 0.4 + 0.15 * n), 2)})
 
     def prescreen(self, text: str) -> str:
-        return json.dumps({"keep": any(w in text.lower() for w in ("prison", "witness", "detain", "siege", "army"))})
+        return json.dumps({"keep": any(w in text.lower() for w in self.KEPT)})
 
     def contradiction(self, text: str) -> str:
         a, _, b = text.partition("\x1e")
