@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from quillstone.session import cut
 
 #: Edges up to which the exact centrality ships the adjacency to every task.
 BROADCAST_EDGES = 2_000_000
+#: Sources that are searched from at once (bits of a number), and levels up to which that is done for whole levels (two depths make one byte).
+SOURCES, LEVELS = 64, 60
 
 
 def name_lookup(registry: DataFrame) -> DataFrame:
@@ -110,59 +113,188 @@ def _undirected(edges_: DataFrame) -> DataFrame:
 def betweenness(edges_: DataFrame, digits: int = 6) -> DataFrame:
     """Rows (id, betweenness), exact, on the undirected simple graph, normalised for unordered pairs.
 
-    Up to ``BROADCAST_EDGES`` edges every task gets the adjacency and runs its share of the sources; only sums per node
-    are shuffled. Beyond that, breadth-first levels are joins over blocks of sources.
+    Up to ``BROADCAST_EDGES`` edges every task gets the edges and runs its share of the sources; only sums per node
+    are shuffled. Hanging trees are counted without a search. Beyond that, breadth-first levels are joins over blocks of sources.
     """
     links = cut(_undirected(edges_))
     ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     n = ids.count()
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    total = _dependencies(links, ids) if links.count() <= BROADCAST_EDGES else _dependencies_by_joins(links, ids)
+    total = _dependencies(links) if links.count() <= BROADCAST_EDGES else _dependencies_by_joins(links, ids)
     return ids.join(total, "id", "left").select("id", F.round(F.coalesce("d", F.lit(0.0)) * scale, digits).alias("betweenness"))
 
 
-def _dependencies(links: DataFrame, ids: DataFrame) -> DataFrame:
-    pairs = links.toPandas()  # at most BROADCAST_EDGES rows
-    names = sorted(set(pairs["a"]) | set(pairs["b"]))
-    number = {x: i for i, x in enumerate(names)}
-    adjacent: list[list[int]] = [[] for _ in names]
-    for a, b in zip(pairs["a"], pairs["b"], strict=True):
-        adjacent[number[a]].append(number[b]), adjacent[number[b]].append(number[a])
-    shared = links.sparkSession.sparkContext.broadcast((names, number, adjacent))
+def _dependencies(links: DataFrame) -> DataFrame:
+    table = links.toArrow()  # at most BROADCAST_EDGES rows
+    coded = pa.chunked_array([*table["a"].chunks, *table["b"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    names, ends = coded.dictionary, coded.indices.to_numpy().astype(np.int64).reshape(2, -1)
+    plan = _plan(len(names), *ends)
+    sc = links.sparkSession.sparkContext
+    shared = sc.broadcast((names, plan))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, number, adjacent = shared.value
+        names, plan = shared.value
         total = np.zeros(len(names))
         for batch in batches:
-            for s in batch["id"]:
-                total += _one_source(adjacent, number[s])
+            for k in batch["id"]:
+                plan.add(k, total)
         at = np.flatnonzero(total)
         if len(at):
-            yield pd.DataFrame({"id": [names[i] for i in at], "d": total[at]})
+            yield pd.DataFrame({"id": names.take(pa.array(at)).to_pandas(), "d": total[at]})
 
-    tasks = max(1, min(ids.sparkSession.sparkContext.defaultParallelism, len(names)))
-    return ids.repartition(tasks).mapInPandas(run, "id string, d double").groupBy("id").agg(F.sum("d").alias("d"))
+    tasks = max(1, min(4 * sc.defaultParallelism, plan.blocks))
+    return links.sparkSession.range(0, plan.blocks, 1, tasks).mapInPandas(run, "id string, d double").groupBy("id").agg(F.sum("d").alias("d"))
 
 
-def _one_source(adjacent: list[list[int]], s: int) -> np.ndarray:
-    """What the shortest paths from ``s`` add to every other node."""
-    depth, paths, order, waiting = {s: 0}, {s: 1.0}, [], deque([s])
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's connected group. Every round joins each group that is not the smallest around to a smaller one."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+
+
+def _plan(n: int, a: np.ndarray, b: np.ndarray) -> _Plan:
+    """Folds the trees that hang on the rest of the graph: a folded node has one way out, so pairs through it are a product of sizes.
+
+    What remains is worked off by connected groups, in blocks of sources. Sources and targets count as often as nodes are folded into them.
+    """
+    degree, other = np.bincount(np.r_[a, b], minlength=n), np.zeros(n, np.int64)
+    np.bitwise_xor.at(other, a, b)
+    np.bitwise_xor.at(other, b, a)
+    waiting = np.flatnonzero(degree == 1).tolist()
+    left, way, size, squares = degree.tolist(), other.tolist(), [1] * n, [0] * n
     while waiting:
-        u = waiting.popleft()
-        order.append(u)
-        for v in adjacent[u]:
-            if v not in depth:
-                depth[v], paths[v] = depth[u] + 1, 0.0
-                waiting.append(v)
-            if depth[v] == depth[u] + 1:
-                paths[v] += paths[u]
-    out = np.zeros(len(adjacent))
-    for v in reversed(order):
-        for u in adjacent[v]:
-            if depth[u] == depth[v] - 1:
-                out[u] += paths[u] / paths[v] * (1 + out[v])
-    out[s] = 0.0
-    return out
+        x = waiting.pop()
+        if left[x] != 1:
+            continue
+        y = way[x]
+        left[x], left[y], way[y] = 0, left[y] - 1, way[y] ^ x
+        size[y] += size[x]
+        squares[y] += size[x] * size[x]
+        if left[y] == 1:
+            waiting.append(y)
+    weight, hung = np.array(size, np.float64), np.array(size, np.float64) - 1
+    root = _roots(n, a, b)
+    whole = np.bincount(root, minlength=n)[root]
+    trees = hung * hung - np.array(squares, np.float64) + 2 * hung * (whole - 1 - hung)
+    core = np.array(left) > 0
+    order = np.flatnonzero(core)
+    order = order[np.argsort(root[order], kind="stable")]
+    number = np.zeros(n, np.int64)
+    number[order] = np.arange(len(order))
+    kept = core[a] & core[b]
+    u, v = number[a[kept]], number[b[kept]]
+    if len(u):
+        by = np.argsort(root[order[u]], kind="stable")
+        u, v = u[by], v[by]
+    starts = np.flatnonzero(np.diff(root[order], prepend=-1))
+    return _Plan(trees, order, weight[order], u, v, np.r_[starts, len(order)], np.r_[np.searchsorted(root[order[u]], root[order[starts]]), len(u)])
+
+
+class _Plan:
+    """Nodes ``order`` and edges (``u``, ``v``) without trees, sorted by connected group; ``starts`` and ``edges`` are where the groups begin."""
+
+    def __init__(self, trees, order, weight, u, v, starts, edges) -> None:
+        self.trees, self.order, self.weight, self.u, self.v, self.starts, self.edges = trees, order.astype(np.int32), weight, u.astype(np.int32), v.astype(np.int32), starts, edges
+        sizes = np.diff(starts)
+        self.first = np.r_[0, np.cumsum(-(-sizes // SOURCES))]
+        self.blocks = max(1, int(self.first[-1]))
+        # Neighbouring blocks go to different tasks, so that every task has a share of each group.
+        self.turn = np.random.default_rng(0).permutation(self.blocks).astype(np.int32)
+        self.group: tuple[int, _Group] | None = None
+
+    def add(self, k: int, total: np.ndarray) -> None:
+        """Adds to ``total`` what the sources of one block give; the first block also has the pairs of the trees."""
+        k = int(self.turn[k])
+        if k == 0:
+            total += self.trees
+        if not len(self.order):
+            return
+        g = int(np.searchsorted(self.first, k, "right")) - 1
+        low, high = int(self.starts[g]), int(self.starts[g + 1])
+        if self.group is None or self.group[0] != g:
+            e = slice(int(self.edges[g]), int(self.edges[g + 1]))
+            self.group = g, _Group(self.weight[low:high], self.u[e].astype(np.int64) - low, self.v[e].astype(np.int64) - low)
+        at = (k - int(self.first[g])) * SOURCES
+        total[self.order[low:high]] += self.group[1].dependencies(np.arange(at, min(at + SOURCES, high - low)))
+
+
+class _Group:
+    """A connected graph without leaves."""
+
+    def __init__(self, weight: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+        self.n, self.weight, self.u, self.v = len(weight), weight, u, v
+        both = np.r_[u, v]
+        by = np.argsort(both, kind="stable")
+        self.beside = np.r_[v, u][by]
+        self.ptr = np.searchsorted(both[by], np.arange(self.n))
+        self.adjacent: list[list[int]] | None = None
+
+    def dependencies(self, sources: np.ndarray) -> np.ndarray:
+        out, depth = np.zeros(self.n), self._depth(sources)
+        for j, s in enumerate(sources.tolist()):
+            out += self.weight[s] * (self._long(s) if depth is None else self._flat(s, depth[j]))
+        return out
+
+    def _depth(self, sources: np.ndarray) -> np.ndarray | None:
+        """The depth of each node from each of at most 64 sources, which are the bits of a number; none where the graph is longer than LEVELS."""
+        seen = np.zeros(self.n, np.uint64)
+        seen[sources] = np.uint64(1) << np.arange(len(sources), dtype=np.uint64)
+        depth, front = np.zeros((self.n, SOURCES), np.int8), seen.copy()
+        for k in range(1, LEVELS + 2):
+            front = np.bitwise_or.reduceat(front[self.beside], self.ptr) & ~seen
+            if not front.any():
+                return np.ascontiguousarray(depth.T)
+            seen |= front
+            depth += np.unpackbits(front.view(np.uint8).reshape(self.n, -1), axis=1, bitorder="little").view(np.int8) * np.int8(k)
+        return None
+
+    def _flat(self, s: int, depth: np.ndarray) -> np.ndarray:
+        """What the shortest paths from ``s`` add to every other node, level by level over the edges between levels."""
+        at_u = depth.take(self.u)
+        both = at_u + depth.take(self.v)
+        parts = []
+        for k in range(int(depth.max())):
+            on = np.flatnonzero(both == 2 * k + 1)
+            u, v = self.u.take(on), self.v.take(on)
+            low = np.where(at_u.take(on) == k, u, v)
+            parts.append((low, u + v - low))
+        paths = np.zeros(self.n)
+        paths[s] = 1.0
+        for x, y in parts:
+            paths += np.bincount(y, paths.take(x), self.n)
+        out = np.zeros(self.n)
+        for x, y in reversed(parts):
+            out += paths * np.bincount(x, ((self.weight + out) / paths).take(y), self.n)
+        out[s] = 0.0
+        return out
+
+    def _long(self, s: int) -> np.ndarray:
+        """The same node by node, for graphs of many levels."""
+        if self.adjacent is None:
+            self.adjacent = [x.tolist() for x in np.split(self.beside, self.ptr[1:])]
+        depth, paths, order, waiting = {s: 0}, {s: 1.0}, [], deque([s])
+        while waiting:
+            u = waiting.popleft()
+            order.append(u)
+            for v in self.adjacent[u]:
+                if v not in depth:
+                    depth[v], paths[v] = depth[u] + 1, 0.0
+                    waiting.append(v)
+                if depth[v] == depth[u] + 1:
+                    paths[v] += paths[u]
+        out = np.zeros(self.n)
+        for v in reversed(order):
+            for u in self.adjacent[v]:
+                if depth[u] == depth[v] - 1:
+                    out[u] += paths[u] / paths[v] * (self.weight[v] + out[v])
+        out[s] = 0.0
+        return out
 
 
 def _dependencies_by_joins(links: DataFrame, ids: DataFrame, block: int = 1000) -> DataFrame:

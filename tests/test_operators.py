@@ -85,6 +85,38 @@ def test_betweenness_both_ways_against_definition(spark):
     assert joined == want
 
 
+def test_betweenness_of_trees_groups_and_long_graphs(spark, monkeypatch):
+    random.seed(5)
+    pairs = [(f"{k}v{random.randrange(7 * k)}", f"{k}v{random.randrange(7 * k)}") for k in (1, 2, 3) for _ in range(9 * k)] + [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [("c0", "t"), ("t", "u"), ("t", "w"), ("p", "q")]
+    want = _betweenness(pairs)
+    for levels in (graph.LEVELS, 1):
+        monkeypatch.setattr(graph, "LEVELS", levels)
+        plan, names = _planned(pairs)
+        total = np.zeros(len(names))
+        for k in range(plan.blocks):
+            plan.add(k, total)
+        n = len(names)
+        assert {x: round(d / ((n - 1) * (n - 2)), 6) for x, d in zip(names, total, strict=True)} == want
+    assert {r["id"]: r["betweenness"] for r in graph.betweenness(_edges(spark, pairs)).collect()} == want
+
+
+def _planned(pairs):
+    names = sorted({x for p in pairs if p[0] != p[1] for x in p})
+    links = sorted({tuple(sorted(names.index(x) for x in p)) for p in pairs if p[0] != p[1]})
+    return graph._plan(len(names), *np.array(links).T), names
+
+
+def test_betweenness_work_does_not_grow_with_leaves(spark):
+    import time
+
+    leaves = 20_000
+    pairs = [("hub", f"v{i}") for i in range(leaves)] + [("hub", "x"), ("x", "y"), ("y", "hub")]
+    began = time.time()
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(_edges(spark, pairs)).where("betweenness > 0").collect()}
+    n = leaves + 3
+    assert got == {"hub": round(1 - 2 / ((n - 1) * (n - 2)), 6)} and time.time() - began < 60
+
+
 def test_communities_separate_cliques(spark):
     pairs = [*combinations("abcd", 2), *combinations("wxyz", 2), ("d", "w")]
     edges = _edges(spark, pairs)
