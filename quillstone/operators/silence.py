@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -12,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import exprs as X
+from quillstone.operators import spelling
 from quillstone.operators import vectors as V
 from quillstone.operators.components import connected_components
-from quillstone.operators.pairs import pairs_within
+from quillstone.operators.pairs import cells
 from quillstone.providers import Embedder
 from quillstone.session import cut
 
+#: Entities of a block; two blocks are compared at once.
+BLOCK = 2048
+
 
 def _place(column: str):
     return F.coalesce(F.nullif(column, F.lit("")), F.lit("unknown"))
@@ -72,31 +75,31 @@ def rerank(df: DataFrame, words: list[str], text: str, group: str, k: int) -> Da
 
 
 def fuzzy_pairs(registry: DataFrame, threshold: float) -> DataFrame:
-    """Rows (a, b, ratio) of entities of one label whose texts match at least ``threshold`` of 100.
+    """Rows (a, b, ratio) of entities of one label whose texts match at least ``threshold`` of 100: all such pairs.
 
-    Candidates are texts with a common run of three characters, and texts of up to eight characters with a common run of two; a pair above the threshold that has
-    neither is not compared (measured: see the README). The length bound of the ratio prunes before Python.
+    Blocks of a label meet in cells. In a cell every pair is bounded by arrays, so only the result leaves it.
     """
-    rows = registry.select(F.col("canonical_id").alias("id"), "label", F.lower("canonical_text").alias("t")).where("t <> ''")
-    runs = lambda n: F.when(F.length("t") >= n, F.transform(F.sequence(F.lit(1), F.length("t") - (n - 1)), lambda i: F.substr("t", i, F.lit(n)))).otherwise(F.array("t"))
-    grams = F.when(F.length("t") <= 8, F.concat(runs(3), runs(2))).otherwise(runs(3))
-    flat = cut(rows.select("id", "t", F.explode(F.array_distinct(F.transform(grams, lambda g: F.concat_ws("\x1f", "label", g)))).alias("key")))
-    bound = 200.0 * F.least(F.length("a_t"), F.length("b_t")) / (F.length("a_t") + F.length("b_t"))
-    pairs = pairs_within(flat, "key", "id", (F.col("a_id") < F.col("b_id")) & (bound >= threshold)).select("a_id", "b_id", "a_t", "b_t").distinct()
+    rows = cut(registry.select(F.col("canonical_id").alias("id"), _label(), F.lower("canonical_text").alias("t")).where("id is not null and t <> ''").distinct())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ratio = [_ratio(a, b, threshold) for a, b in zip(batch["a_t"], batch["b_t"], strict=True)]
-            out = pd.DataFrame({"a": batch["a_id"], "b": batch["b_id"], "ratio": ratio})
-            yield out[out["ratio"] >= threshold]
+        rows = pd.concat(batches, ignore_index=True)
+        ids = rows["id"].to_numpy()
+        for a, b, ratio in spelling.near(rows["t"].tolist(), *_sides(rows), threshold):
+            yield pd.DataFrame({"a": ids[a], "b": ids[b], "ratio": ratio})
+
+    return cells(rows, "label", "id", BLOCK).groupBy("cell_g", "cell_i", "cell_j").applyInPandas(run, "a string, b string, ratio double")
+
 
-    return pairs.mapInPandas(run, "a string, b string, ratio double")
+def _label():
+    """The label as a group of its own where it is null."""
+    return F.concat_ws("\x1f", F.lit("label"), "label").alias("label")
 
 
-def _ratio(a: str, b: str, threshold: float) -> float:
-    """The match ratio, or 0 where the characters in common already keep it under the threshold."""
-    match = SequenceMatcher(None, a, b, autojunk=False)
-    return 100.0 * match.ratio() if 100.0 * match.quick_ratio() >= threshold else 0.0
+def _sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the ids, and the rows of both blocks of a cell."""
+    rank, block = pd.factorize(rows["id"], sort=True)[0], rows["block_"].to_numpy()
+    left = np.flatnonzero(block == rows["cell_i"].iloc[0])
+    return rank, left, left if rows["cell_i"].iloc[0] == rows["cell_j"].iloc[0] else np.flatnonzero(block == rows["cell_j"].iloc[0])
 
 
 def entity_links(registry: DataFrame, embedder: Embedder, cosine: float = 0.88, fuzzy: float = 72.0) -> DataFrame:

@@ -132,3 +132,21 @@ def test_links_by_cosine_and_by_spelling_against_all_pairs(spark):
     truth = {tuple(sorted((a[0], b[0]))) for a, b in combinations(texts, 2) if a[1] == b[1] and 100 * SequenceMatcher(None, *[x[2] for x in sorted((a, b), key=lambda r: r[0])], autojunk=False).ratio() >= 72}
     found = {(r["a"], r["b"]) for r in silence.fuzzy_pairs(registry, 72.0).collect()}
     assert found <= truth and len(found) >= 0.98 * len(truth) > 0
+
+
+def test_spelling_pairs_are_all_pairs(spark, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    rng = random.Random(4)
+    texts = ["UN", "UNO", "X", "x", "", "ab" * 40, "ab" * 39 + "c", "é漢" * 9, "é漢" * 8 + "漢é", "abcd", "a-b-c-d"] + ["".join(rng.choice("abcé ") for _ in range(rng.randrange(1, 14))) for _ in range(150)]
+    rows = [(f"{i:04x}", "l" if i % 3 else None, t) for i, t in enumerate(dict.fromkeys(texts))] + [(None, "l", "abcd")]
+    registry = spark.createDataFrame(rows, "canonical_id string, label string, canonical_text string")
+    low = [(i, g, t.lower()) for i, g, t in rows if i and t]
+    score = {(a[0], b[0]): 100 * SequenceMatcher(None, a[2], b[2], autojunk=False).ratio() for a, b in combinations(low, 2) if a[1] == b[1]}
+    for block in (silence.BLOCK, 20):
+        monkeypatch.setattr(silence, "BLOCK", block)
+        for threshold in (72.0, 50.0):
+            got = [(r["a"], r["b"], r["ratio"]) for r in silence.fuzzy_pairs(registry, threshold).collect()]
+            assert len(got) == len(set(got)) and {x[:2]: x[2] for x in got} == {p: x for p, x in score.items() if x >= threshold}
