@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import exprs as X
+from quillstone.operators.components import joined
 from quillstone.operators.ranking import first_by, last_by
 from quillstone.session import cut
 
@@ -146,18 +147,6 @@ def _dependencies(links: DataFrame) -> DataFrame:
     return links.sparkSession.range(0, plan.blocks, 1, tasks).mapInPandas(run, "id string, d double").groupBy("id").agg(F.sum("d").alias("d"))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node of each node's connected group. Every round joins each group that is not the smallest around to a smaller one."""
-    root = np.arange(n)
-    while True:
-        x, y = root[a], root[b]
-        if (x == y).all():
-            return root
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(root, up := root[root]):
-            root = up
-
-
 def _plan(n: int, a: np.ndarray, b: np.ndarray) -> _Plan:
     """Folds the trees that hang on the rest of the graph: a folded node has one way out, so pairs through it are a product of sizes.
 
@@ -179,7 +168,7 @@ def _plan(n: int, a: np.ndarray, b: np.ndarray) -> _Plan:
         if left[y] == 1:
             waiting.append(y)
     weight, hung = np.array(size, np.float64), np.array(size, np.float64) - 1
-    root = _roots(n, a, b)
+    root = joined(np.arange(n), a, b)
     whole = np.bincount(root, minlength=n)[root]
     trees = hung * hung - np.array(squares, np.float64) + 2 * hung * (whole - 1 - hung)
     core = np.array(left) > 0

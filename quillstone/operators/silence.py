@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from quillstone.functions import exprs as X
 from quillstone.operators import spelling
 from quillstone.operators import vectors as V
-from quillstone.operators.components import connected_components
+from quillstone.operators.components import connected_components, joined
 from quillstone.operators.pairs import cells
 from quillstone.providers import Embedder
 from quillstone.session import cut
@@ -103,16 +103,38 @@ def _sides(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def entity_links(registry: DataFrame, embedder: Embedder, cosine: float = 0.88, fuzzy: float = 72.0) -> DataFrame:
-    """Rows (a, b) of entities of one label that are near in meaning or in spelling."""
+    """Rows (a, b) that connect all entities of one label that are near in meaning or in spelling: not each near pair, but the groups are the same.
+
+    Blocks of a label meet in cells. A cell compares all its pairs but those that are connected already, and gives one link less than the entities it connects.
+    """
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(v=list(np.asarray(embedder.embed(batch["canonical_text"].fillna("").tolist()), dtype=np.float64)))[["canonical_id", "label", "v"]]
+                # Vectors travel as bytes, in single precision only where the model gives no more.
+                m = np.asarray(embedder.embed(batch["canonical_text"].fillna("").tolist()))
+                m = m if m.dtype == np.float32 else m.astype(np.float64)
+                yield batch.assign(v=[x.tobytes() for x in m], wide=m.dtype == np.float64)[["id", "label", "t", "v", "wide"]]
 
-    vectors = registry.select("canonical_id", "label", "canonical_text").mapInPandas(embed, "canonical_id string, label string, v array<double>")
-    near = V.cosine_links(vectors, "canonical_id", "label", "v", cosine).select("a", "b")
-    return near.unionByName(fuzzy_pairs(registry, fuzzy).select("a", "b")).distinct()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches, ignore_index=True)
+        rank, left, right = _sides(rows)
+        ids, texts = rows["id"].to_numpy(), rows["t"].fillna("")
+        m = np.array([np.frombuffer(v, np.float64 if wide else np.float32) for v, wide in zip(rows["v"], rows["wide"], strict=True)], np.float64)
+        root = np.arange(len(rows))
+        apart = lambda a, b: root[a] != root[b]
+        for a, b in V.near(m, left, right, cosine, apart):
+            root = joined(root, a, b)
+        filled = texts.to_numpy() != ""
+        sides = [left[filled[left]]] * 2 if left is right else [left[filled[left]], right[filled[right]]]
+        for a, b, _ in spelling.near(texts.tolist(), rank, *sides, fuzzy, apart):
+            root = joined(root, a, b)
+        at = np.flatnonzero(root != np.arange(len(rows)))
+        yield pd.DataFrame({"a": np.minimum(ids[root[at]], ids[at]), "b": np.maximum(ids[root[at]], ids[at])})
+
+    named = registry.select(F.col("canonical_id").alias("id"), _label(), F.lower("canonical_text").alias("t"), "canonical_text").where("id is not null")
+    rows = cut(named.mapInPandas(embed, "id string, label string, t string, v binary, wide boolean"))
+    return cells(rows, "label", "id", BLOCK).groupBy("cell_g", "cell_i", "cell_j").applyInPandas(run, "a string, b string").distinct()
 
 
 def resolved_entities(registry: DataFrame, links: DataFrame) -> DataFrame:

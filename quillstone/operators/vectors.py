@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -77,6 +77,23 @@ def cosine_links(df: DataFrame, key: str, group: str, vector: str, threshold: fl
     return both.select("a_key", "a_v", "b_key", "b_v").mapInPandas(compare, f"a {kind}, b {kind}, cosine double")
 
 
+def near(m: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row of ``left`` and one of ``right`` at least ``threshold`` similar, all of them; zero vectors are near nothing. ``wanted`` may leave out pairs."""
+    norm = np.linalg.norm(m, axis=1)
+    unit = (m / np.maximum(norm, 1e-12)[:, None]).astype(np.float32)
+    left, right = left[norm[left] > 0], right[norm[right] > 0]
+    other = unit[right].T.copy()
+    for k in range(0, len(left), tile):
+        x, y = np.nonzero(unit[left[k : k + tile]] @ other >= threshold - 1e-4)
+        x, y = left[k + x], right[y]
+        for i in range(0, len(x), 32 * tile):
+            a, b = x[i : i + 32 * tile], y[i : i + 32 * tile]
+            on = (a != b) & wanted(a, b)
+            a, b = a[on], b[on]
+            on = np.round((m[a] * m[b]).sum(axis=1) / np.maximum(norm[a] * norm[b], 1e-12), 6) >= threshold
+            yield a[on], b[on]
+
+
 def top_k(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, with_self: bool = False, with_vectors: bool = False) -> DataFrame:
     """Rows (query, key, cosine, rank) of the ``k`` nearest rows of every query.
 

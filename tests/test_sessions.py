@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstone import agents, providers
 from quillstone.operators import silence
 from quillstone.operators import vectors as V
+from quillstone.session import cut
 from quillstone.sources import connectors as C
 from quillstone.sources import sinks
 from quillstone.streaming import frontier as S
@@ -150,3 +151,29 @@ def test_spelling_pairs_are_all_pairs(spark, monkeypatch):
         for threshold in (72.0, 50.0):
             got = [(r["a"], r["b"], r["ratio"]) for r in silence.fuzzy_pairs(registry, threshold).collect()]
             assert len(got) == len(set(got)) and {x[:2]: x[2] for x in got} == {p: x for p, x in score.items() if x >= threshold}
+
+
+def test_entity_links_connect_what_all_near_pairs_do(spark, monkeypatch):
+    from difflib import SequenceMatcher
+    from itertools import combinations
+
+    import numpy as np
+
+    from quillstone import adapters as A
+    from quillstone.operators.components import joined
+    from quillstone.providers import HashEmbedder
+
+    registry = cut(A.registry(spark, "/root/testdata/sf0.001"))
+    rows = registry.select("canonical_id", "label", "canonical_text").orderBy("canonical_id").collect()
+    m = HashEmbedder().embed([r[2] for r in rows]).astype(np.float64)
+    low, links = [r[2].lower() for r in rows], []
+    for i, j in combinations(range(len(rows)), 2):
+        if rows[i][1] == rows[j][1] and (round(m[i] @ m[j] / max(np.linalg.norm(m[i]) * np.linalg.norm(m[j]), 1e-12), 6) >= 0.88 or 100 * SequenceMatcher(None, low[i], low[j], autojunk=False).ratio() >= 72):
+            links.append((i, j))
+    want = joined(np.arange(len(rows)), *np.array(links).T)
+    number = {r[0]: i for i, r in enumerate(rows)}
+    for block in (silence.BLOCK, 25):
+        monkeypatch.setattr(silence, "BLOCK", block)
+        got = np.array([(number[r["a"]], number[r["b"]]) for r in silence.entity_links(registry, HashEmbedder()).collect()])
+        assert (joined(np.arange(len(rows)), *got.T) == want).all()
+        assert block == 25 or len(got) == len(rows) - len(np.unique(want)) < len(links)
