@@ -117,6 +117,22 @@ def test_betweenness_work_does_not_grow_with_leaves(spark):
     assert got == {"hub": round(1 - 2 / ((n - 1) * (n - 2)), 6)} and time.time() - began < 60
 
 
+def test_key_actors_of_a_wide_table(spark, tmp_path):
+    import time
+
+    from quillstone.plans.graphs import key_actors
+
+    source, leaves = "/root/testdata/sf0.001", 20_000
+    spark.read.parquet(f"{source}/mentions.parquet").limit(0).write.parquet(f"{tmp_path}/mentions.parquet")
+    row = spark.read.parquet(f"{source}/triples.parquet").limit(1).withColumn("confidence", F.lit(0.9)).drop("triple_id", "subject", "object")
+    names = spark.range(leaves).select(F.col("id").alias("triple_id"), F.lit("Hub").alias("subject"), F.concat(F.lit("Leaf "), "id").alias("object"))
+    row.crossJoin(names.unionByName(spark.createDataFrame([(leaves, "Leaf 0", "Tip")], names.schema))).write.parquet(f"{tmp_path}/triples.parquet")
+    began, n = time.time(), leaves + 2
+    got = [r["betweenness"] for r in key_actors(spark, str(tmp_path)).collect()]
+    most = (leaves - 1) * (leaves - 2) / 2 + 2 * (leaves - 1)
+    assert got == [round(2 * most / ((n - 1) * (n - 2)), 6), round(2 * leaves / ((n - 1) * (n - 2)), 6)] and time.time() - began < 60
+
+
 def test_communities_separate_cliques(spark):
     pairs = [*combinations("abcd", 2), *combinations("wxyz", 2), ("d", "w")]
     edges = _edges(spark, pairs)
