@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from quillstone.session import cut
 BROADCAST_EDGES = 2_000_000
 #: Sources that are searched from at once (bits of a number), and levels up to which that is done for whole levels (two depths make one byte).
 SOURCES, LEVELS = 64, 60
+#: Sources go together while they use each edge so many times at most, and their path counts take so many bytes; a run of rows is added up so many rows at a time, for so many runs.
+SHARED, BYTES, RUN, RUNS = 3, 200_000_000, 16, 256
 
 
 def name_lookup(registry: DataFrame) -> DataFrame:
@@ -182,7 +185,13 @@ def _plan(n: int, a: np.ndarray, b: np.ndarray) -> _Plan:
         by = np.argsort(root[order[u]], kind="stable")
         u, v = u[by], v[by]
     starts = np.flatnonzero(np.diff(root[order], prepend=-1))
-    return _Plan(trees, order, weight[order], u, v, np.r_[starts, len(order)], np.r_[np.searchsorted(root[order[u]], root[order[starts]]), len(u)])
+    ends, edges_ = np.r_[starts, len(order)], np.r_[np.searchsorted(root[order[u]], root[order[starts]]), len(u)]
+    alike = np.arange(len(order))
+    for g in np.flatnonzero(np.diff(ends) > SOURCES).tolist():
+        low, e = ends[g], slice(edges_[g], edges_[g + 1])
+        alike[low : ends[g + 1]] = low + _Group(weight[order[low : ends[g + 1]]], u[e] - low, v[e] - low).alike()
+    order, number = order[alike], np.argsort(alike)
+    return _Plan(trees, order, weight[order], number[u], number[v], ends, edges_)
 
 
 class _Plan:
@@ -222,14 +231,92 @@ class _Group:
         by = np.argsort(both, kind="stable")
         self.beside = np.r_[v, u][by]
         self.ptr = np.searchsorted(both[by], np.arange(self.n))
+        self.degree = np.diff(np.r_[self.ptr, len(both)])
+        self.room = np.empty(0)
         self.adjacent: list[list[int]] | None = None
 
+    def alike(self) -> np.ndarray:
+        """The nodes, those side by side that are as far from the nodes of most edges: their shortest paths are much the same."""
+        depth = self._depth(np.argsort(-self.degree, kind="stable")[:SOURCES])
+        return np.arange(self.n) if depth is None else np.lexsort(depth[::-1])
+
     def dependencies(self, sources: np.ndarray) -> np.ndarray:
+        levels = self._levels(sources)
+        if levels is not None and 8 * len(sources) * sum(len(at) for at, *_ in levels) <= BYTES:
+            return self._together(sources, levels)
+        if levels is not None and len(sources) > 1:
+            del levels
+            half = len(sources) // 2
+            return self.dependencies(sources[:half]) + self.dependencies(sources[half:])
         out, depth = np.zeros(self.n), self._depth(sources)
         for j, s in enumerate(sources.tolist()):
             out += self.weight[s] * (self._long(s) if depth is None else self._flat(s, depth[j]))
         return out
 
+    def _levels(self, sources: np.ndarray) -> list[tuple] | None:
+        """By depth: the nodes that are so far from any of at most 64 sources, the bits of those sources, and (row, node beside) of the edges that some source uses to the level above and below.
+
+        None where the graph is longer than LEVELS, or the sources have too little in common.
+        """
+        front = np.zeros(self.n, np.uint64)
+        front[sources] = np.uint64(1) << np.arange(len(sources), dtype=np.uint64)
+        seen, before, levels, left = front.copy(), np.zeros(self.n, np.uint64), [], SHARED * len(self.u)
+        while len(at := np.flatnonzero(front)):
+            bits, count = front[at], self.degree[at]
+            row = np.repeat(np.arange(len(at), dtype=np.int32), count)
+            beside = self.beside.take(np.repeat(self.ptr[at] - np.cumsum(count) + count, count) + np.arange(len(row)))
+            mine = bits.take(row)
+            after = np.bitwise_or.reduceat(front.take(self.beside), self.ptr) & ~seen
+            up, down = (np.flatnonzero((x.take(beside) & mine) != 0) for x in (before, after))
+            levels.append((at, bits, (row[up], beside[up]), (row[down], beside[down])))
+            left -= len(down)
+            if left < 0 or len(levels) > LEVELS + 1:
+                return None
+            seen |= after
+            before, front = front, after
+        return levels
+
+    def _together(self, sources: np.ndarray, levels: list[tuple]) -> np.ndarray:
+        """What the shortest paths from all sources add to every other node, each source by its weight; a row holds a node, a column a source.
+
+        With d what a source adds to a node of c paths, (weight + d) / c is the node's own weight / c and the sum of the same over the nodes below.
+        """
+        lows = np.cumsum([0, *(len(at) for at, *_ in levels)]).tolist()
+        if len(self.room) < lows[-1] * len(sources):
+            self.room = np.empty(lows[-1] * len(sources) * 9 // 8)
+        table = self.room[: lows[-1] * len(sources)].reshape(-1, len(sources))  # counts of paths, then what (weight + d) / c is
+        rows = [table[low:high] for low, high in pairwise(lows)]
+        place, share = np.zeros(self.n, np.int32), self.weight[sources]
+        marks = lambda bits: np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=len(sources)).view(bool)
+        rows[0][:] = marks(levels[0][1])
+        for k, (at, bits, (row, beside), _) in enumerate(levels[1:], 1):
+            place[levels[k - 1][0]] = np.arange(lows[k - 1], lows[k])
+            for r, total in _run_sums(table, place[beside], *_runs(row)):
+                total *= marks(bits[r])
+                rows[k][r] = total
+        out = np.zeros(self.n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k in range(len(levels) - 1, 0, -1):
+                at, _, _, (row, beside) = levels[k]
+                weight, last = self.weight[at][:, None], np.ones(len(at), bool)
+                last[row] = False
+                ends = np.flatnonzero(last)
+                for r in (ends[i : i + RUNS] for i in range(0, len(ends), RUNS)):
+                    count = rows[k].take(r, 0)
+                    total = weight[r] / count
+                    np.copyto(total, 0.0, where=count == 0)
+                    rows[k][r] = total
+                starts, lengths = _runs(row)
+                for run, total in _run_sums(table, place[beside], starts, lengths):
+                    r = row[starts[run]]
+                    count = rows[k].take(r, 0)
+                    out[at[r]] += np.einsum("ij,ij,j->i", total, count, share)
+                    total += weight[r] / count
+                    np.copyto(total, 0.0, where=count == 0)
+                    rows[k][r] = total
+                place[at] = np.arange(lows[k], lows[k + 1])
+        return out
+
     def _depth(self, sources: np.ndarray) -> np.ndarray | None:
         """The depth of each node from each of at most 64 sources, which are the bits of a number; none where the graph is longer than LEVELS."""
         seen = np.zeros(self.n, np.uint64)
@@ -286,6 +373,39 @@ class _Group:
         return out
 
 
+def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values begin, and their lengths."""
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    return starts, np.diff(np.r_[starts, len(row)])
+
+
+def _run_sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sums of ``rows[index]`` over runs, as (numbers of runs, sums) in blocks; a block of sums is valid until the next.
+
+    Runs of like lengths are added up beside each other; long ones in parts, then the parts.
+    """
+    far, near = np.flatnonzero(lengths > RUN), np.flatnonzero(lengths <= RUN)
+    if len(far):
+        parts = -(-lengths[far] // RUN)
+        first, of = np.cumsum(parts) - parts, np.repeat(np.arange(len(far)), parts)
+        part = np.arange(len(of)) - first[of]
+        some = np.empty((len(of), rows.shape[1]))
+        for k, total in _run_sums(rows, index, starts[far][of] + RUN * part, np.minimum(RUN, lengths[far][of] - RUN * part)):
+            some[k] = total
+        for k, total in _run_sums(some, np.arange(len(of)), first, parts):
+            yield far[k], total
+    near = near[np.argsort(-lengths[near].astype(np.int8), kind="stable")]
+    totals, more = np.empty((2, RUNS, rows.shape[1]))
+    for i in range(0, len(near), RUNS):
+        k = near[i : i + RUNS]
+        start, length, total = starts[k], lengths[k], totals[: len(k)]
+        rows.take(index[start], 0, out=total, mode="clip")
+        for j in range(1, int(length[0])):
+            m = int(np.count_nonzero(length > j))
+            total[:m] += rows.take(index[start[:m] + j], 0, out=more[:m], mode="clip")
+        yield k, total
+
+
 def _dependencies_by_joins(links: DataFrame, ids: DataFrame, block: int = 1000) -> DataFrame:
     """The same by joins: level by level forward for path counts, then back for dependencies, for blocks of sources."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

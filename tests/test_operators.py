@@ -106,6 +106,40 @@ def _planned(pairs):
     return graph._plan(len(names), *np.array(links).T), names
 
 
+def test_betweenness_of_sources_together_and_apart(monkeypatch):
+    random.seed(8)
+    pairs = [(f"v{min(int(random.expovariate(0.2)), 149)}", f"v{random.randrange(150)}") for _ in range(420)] + [(f"c{i}", f"c{(i + 1) % 9}") for i in range(9)]
+    want = _betweenness(pairs)
+    for shared, size, run in ((graph.SHARED, graph.BYTES, graph.RUN), (10**6, 10**9, 3), (10**6, 20_000, 3), (0, 10**9, 3)):
+        monkeypatch.setattr(graph, "SHARED", shared)
+        monkeypatch.setattr(graph, "BYTES", size)
+        monkeypatch.setattr(graph, "RUN", run)
+        plan, names = _planned(pairs)
+        total = np.zeros(len(names))
+        for k in range(plan.blocks):
+            plan.add(k, total)
+        n = len(names)
+        assert {x: round(d / ((n - 1) * (n - 2)), 6) for x, d in zip(names, total, strict=True)} == want
+
+
+def test_betweenness_sources_share_their_work(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, m = 20_000, 120_000
+    links = np.sort(np.c_[rng.integers(0, n, m), np.minimum(rng.zipf(1.3, m), n) - 1], axis=1)
+    links = np.unique(links[links[:, 0] != links[:, 1]], axis=0)
+    ids, ends = np.unique(links, return_inverse=True)
+    plan = graph._plan(len(ids), *ends.reshape(-1, 2).T)
+    alone, flat = [], graph._Group._flat
+    monkeypatch.setattr(graph._Group, "_flat", lambda self, s, depth: alone.append(s) or flat(self, s, depth))
+    total = np.zeros(len(ids))
+    for k in range(5):
+        plan.add(k * plan.blocks // 5, total)
+    assert not alone
+    group = plan.group[1]
+    used = [sum(len(down) for *_, (down, _) in group._levels(np.arange(at, at + graph.SOURCES))) for at in range(0, group.n - graph.SOURCES, 20 * graph.SOURCES)]
+    assert max(used) < 3 * len(group.u) and sum(used) < 2 * len(used) * len(group.u)
+
+
 def test_betweenness_work_does_not_grow_with_leaves(spark):
     import time
 
